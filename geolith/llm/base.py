@@ -4,11 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,14 +19,14 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local master without that setting gets a temporary folder of its own.
     """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    where = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not where:
-        if not spark.sparkContext.master.startswith("local["):
+        if not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="geolith-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(where)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(where)
     return where
 
 
@@ -71,16 +68,24 @@ def columns_by_place(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
 
 
-def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow, whose function sees whole partitions as batches."""
-    return df.mapInArrow(function, schema)
-
-
 def signed(x: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit hashes as the signed integers Spark stores."""
     return x.view(np.int64)
 
 
+def unique_ids(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row for each id, whichever comes first; rows without an id stay.
+
+    The texts are only shuffled where some id does repeat.
+    """
+    key = pick(docs, id=id_col).where("id IS NOT NULL")
+    if key.groupBy("id").count().where("count > 1").isEmpty():
+        return docs
+    names, at = docs.columns, f"_{place(docs, id_col)}"
+    flat = columns_by_place(docs)
+    return flat.where(F.col(at).isNotNull()).dropDuplicates([at]).unionByName(flat.where(F.col(at).isNull())).toDF(*names)
+
+
 def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of docs whose id isn't in ids (column `id`); null ids stay."""
     names = docs.columns
@@ -106,7 +111,3 @@ def components(edges: DataFrame) -> DataFrame:
         if after.where("root <> old").isEmpty():
             return after.select("node", "root")
         labels = after.select("node", "root")
-
-
-def as_column(name: str) -> Column:
-    return F.col(name)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from geolith.llm import simhash
+from geolith.llm import simhash, suffixes
 
 QUERIES = {
+    "op4_suffix_array_dedup": suffixes.op4_suffix_array_dedup,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
 }
 ORACLES: dict[str, str] = {}

@@ -166,13 +166,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radiu
     Rows without id or text stay. Of rows that repeat an id, one stays.
     """
     dropped = duplicates(docs, id_col, text_col, radius).select(F.col("doc_id").alias("id"))
-    key = base.pick(docs, id=id_col)
-    repeated = key.where("id IS NOT NULL").groupBy("id").count().where("count > 1")
-    if not repeated.isEmpty():
-        names, at = docs.columns, f"_{base.place(docs, id_col)}"
-        flat = base.columns_by_place(docs)
-        docs = flat.where(F.col(at).isNotNull()).dropDuplicates([at]).unionByName(flat.where(F.col(at).isNull())).toDF(*names)
-    return base.drop_ids(docs, dropped, id_col)
+    return base.drop_ids(base.unique_ids(docs, id_col), dropped, id_col)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
