@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from geolith.llm import simhash, suffixes
+from geolith.llm import bpe, simhash, suffixes
 
 QUERIES = {
+    "op9_bpe_encode": bpe.op9_bpe_encode,
     "op4_suffix_array_dedup": suffixes.op4_suffix_array_dedup,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
 }
