@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from geolith.llm import bpe, simhash, suffixes
+from geolith.llm import bpe, simhash, suffixes, toxicity
 
 QUERIES = {
-    "op9_bpe_encode": bpe.op9_bpe_encode,
+    "op1_toxicity": toxicity.op1_toxicity,
     "op4_suffix_array_dedup": suffixes.op4_suffix_array_dedup,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
+    "op9_bpe_encode": bpe.op9_bpe_encode,
 }
 ORACLES: dict[str, str] = {}
