@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from geolith.llm import bpe, simhash, suffixes, toxicity
+from geolith.llm import bpe, quality, simhash, suffixes, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op4_suffix_array_dedup": suffixes.op4_suffix_array_dedup,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op9_bpe_encode": bpe.op9_bpe_encode,
+    "op10_quality_rules": quality.op10_quality_rules,
 }
 ORACLES: dict[str, str] = {}
