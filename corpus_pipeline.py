@@ -8,7 +8,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geolith.llm import base, simhash
+from geolith.llm import base, packing, quality, simhash, suffixes, toxicity
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a quality rule rejects go; its cut-offs come from the labelled ones."""
+    return quality.reject(docs, base.table(spark, sf_dir, "labels"))
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxic documents go; the model is fitted to the labelled ones."""
+    return toxicity.reject(docs, base.table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,7 +26,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.dedup(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document holds are cut out."""
+    return suffixes.dedup(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left as best-fit packed sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("toxicity", toxic), ("simhash_near_dedup", near_dedup), ("suffix_array_dedup", passage_dedup), ("best_fit_packing", packed)]
 
 ORACLE_SQL = None
 
