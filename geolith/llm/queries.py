@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from geolith.llm import bpe, packing, quality, simhash, suffixes, toxicity
+from geolith.llm import bpe, chat, packing, quality, simhash, suffixes, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_suffix_array_dedup": suffixes.op4_suffix_array_dedup,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
+    "op8_chat_format": chat.op8_chat_format,
     "op9_bpe_encode": bpe.op9_bpe_encode,
     "op10_quality_rules": quality.op10_quality_rules,
 }
