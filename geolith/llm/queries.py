@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from geolith.llm import bpe, chat, packing, quality, simhash, suffixes, toxicity
+from geolith.llm import bpe, chat, packing, quality, simhash, suffixes, tokenstore, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_token_orc": tokenstore.op2_token_orc,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_suffix_array_dedup": suffixes.op4_suffix_array_dedup,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
