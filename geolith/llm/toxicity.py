@@ -4,8 +4,8 @@ A word is the bag of its byte n-grams (with marks for its ends) and of itself;
 its vector is the mean of their embeddings, so that a misspelling never seen
 shares most of its vector with the word it comes from. A window of `WINDOW`
 consecutive words is the mean of its words, and a two-way softmax over that mean
-tells whether it is toxic. Embeddings and softmax are trained together (Adam, in
-numpy) on the labelled documents: first with every window of a toxic document as
+tells whether it is toxic. Embeddings and softmax are trained together (Adam on
+batches, in numpy) on the labelled documents: first with every window of a toxic document as
 toxic, then with only its most toxic window, which is what the label is about. A
 document's score is that of its most toxic window, over all windows.
 
@@ -27,12 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geolith.llm import base
-from geolith.llm.textops import mix, powers, ranges, span_hash, text_slices, word_spans
+from geolith.llm.textops import mix, powers, ranges, slices, span_hash, text_slices, word_spans
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5, 6)
@@ -40,7 +41,7 @@ DIM = 8
 WINDOW = 8
 TRAIN_DOCS = 3000
 TRAIN_WORDS = 2_500_000
-ROUNDS, STEPS = 3, 25
+ROUNDS, STEPS, BATCHES = 3, 32, 8
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -119,65 +120,78 @@ def _adam(gradient: np.ndarray, state: list[np.ndarray], step: int, rate: float)
     return rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
 
 
+def _vocabulary(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts and ends of a place for each distinct word, distinct word of each place, words per row)."""
+    starts, ends, hashes, counts = [], [], [], []
+    for a, b in slices(np.diff(offsets)):
+        o = offsets[a : b + 1]
+        s, e, c = word_spans(raw[o[0] : o[-1]], o - o[0])
+        hashes.append(span_hash(raw[o[0] : o[-1]], s, e, lower=True))
+        starts.append(s + o[0])
+        ends.append(e + o[0])
+        counts.append(c)
+    _, first, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    return np.concatenate(starts)[first], np.concatenate(ends)[first], inverse.astype(np.int32), np.concatenate(counts)
+
+
 def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model | None:
     """A model of labelled texts, or None without both kinds."""
     if not (toxic == 1).any() or not (toxic == 0).any():
         return None
     rng = np.random.default_rng(seed)
     raw, offsets = _joined(texts)
-    starts, ends, counts = word_spans(raw, offsets)
+    starts, ends, inverse, counts = _vocabulary(raw, offsets)
+    if not len(inverse):
+        return None
     has = counts > 0
     held_out = (np.arange(len(texts)) % 4 == 3) & has
-    first, inverse = distinct_words(raw, starts, ends)
-    flat, sizes = subwords(raw, starts[first], ends[first])
+    flat, sizes = subwords(raw, starts, ends)
     begin = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(first)), sizes)
     # windows of the training documents, without overlap
-    doc = np.repeat(np.arange(len(texts)), counts)
-    window_key = doc * (1 << 24) + ranges(counts) // WINDOW
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
     fit_word = ~held_out[doc]
-    _, window = np.unique(window_key[fit_word], return_inverse=True)
+    if not fit_word.any():
+        return None
+    window = np.cumsum((ranges(counts) % WINDOW == 0)[fit_word], dtype=np.int32) - 1
     words = inverse[fit_word]
-    n_windows = int(window.max()) + 1
+    n_windows = int(window[-1]) + 1
     per = np.bincount(window, minlength=n_windows)
     w_start = np.cumsum(per) - per
     w_doc = doc[fit_word][w_start]
     bad = toxic[w_doc] == 1
-    embedding = rng.normal(0, 0.1, (BUCKETS, DIM))
-    softmax = rng.normal(0, 0.1, (DIM, 2))
-    offset = np.zeros(2)
+    embedding = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
+    softmax = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
+    offset = np.zeros(2, np.float32)
     chosen = np.ones(n_windows, bool)
     for round_ in range(ROUNDS):
         sel = np.flatnonzero(chosen)
-        label = bad[sel].astype(int)
-        weight = np.where(label == 1, 0.5 / max(1, label.sum()), 0.5 / max(1, (label == 0).sum()))
-        rank = np.full(n_windows, -1)
-        rank[sel] = np.arange(len(sel))
-        use = chosen[window]
-        w_ids, w_of = words[use], rank[window[use]]
-        share = per[sel].astype(float)
         state = [[np.zeros_like(x), np.zeros_like(x)] for x in (embedding, softmax, offset)]
-        seen = np.unique(w_ids)
-        live = np.zeros(len(first), bool)
-        live[seen] = True
-        live_sub = live[owner]
-        s_flat, s_owner = flat[live_sub], owner[live_sub]
         for step in range(1, STEPS + 1):
-            word_vec = np.add.reduceat(embedding[flat], begin, axis=0) / sizes[:, None]
-            cuts = np.r_[0, np.flatnonzero(np.diff(w_of)) + 1]
-            window_vec = np.add.reduceat(word_vec[w_ids], cuts, axis=0) / share[:, None]
+            if step % BATCHES == 1:
+                rng.shuffle(sel)
+            pick = sel[step % BATCHES :: BATCHES]
+            if not len(pick):
+                continue
+            label = bad[pick].astype(int)
+            weight = np.where(label == 1, 0.5 / max(1, label.sum()), 0.5 / max(1, (label == 0).sum())).astype(np.float32)
+            n = per[pick]
+            ids, local = np.unique(words[np.repeat(w_start[pick], n) + ranges(n)], return_inverse=True)
+            w_of, share, s = np.repeat(np.arange(len(pick)), n), n[:, None].astype(np.float32), sizes[ids]
+            f = flat[np.repeat(begin[ids], s) + ranges(s)]
+            word_vec = np.add.reduceat(embedding[f], np.cumsum(s) - s, axis=0) / s[:, None].astype(np.float32)
+            window_vec = np.add.reduceat(word_vec[local], np.cumsum(n) - n, axis=0) / share
             logits = window_vec @ softmax + offset
             logits -= logits.max(axis=1, keepdims=True)
             prob = np.exp(logits)
             prob /= prob.sum(axis=1, keepdims=True)
-            prob[np.arange(len(sel)), label] -= 1
+            prob[np.arange(len(pick)), label] -= 1
             error = prob * weight[:, None]
             g_soft = window_vec.T @ error + 1e-5 * softmax
-            g_window = (error @ softmax.T) / share[:, None]
+            g_window = (error @ softmax.T) / share
             g_embed = np.empty_like(embedding)
             for d in range(DIM):
-                g_word = np.bincount(w_ids, g_window[w_of, d], minlength=len(first)) / sizes
-                g_embed[:, d] = np.bincount(s_flat, g_word[s_owner], minlength=BUCKETS)
+                g_word = np.bincount(local, g_window[w_of, d], minlength=len(ids)) / s
+                g_embed[:, d] = np.bincount(f, np.repeat(g_word, s), minlength=BUCKETS)
             embedding -= _adam(g_embed, state[0], step, 0.05)
             softmax -= _adam(g_soft, state[1], step, 0.05)
             offset -= _adam(error.sum(axis=0), state[2], step, 0.05)
@@ -189,7 +203,8 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model | None:
         last = np.r_[w_doc[order][1:] != w_doc[order][:-1], True]
         chosen = ~bad
         chosen[order[last]] = True
-    return Model(model.weights, model.bias, _cutoff(model.scores(raw, offsets), toxic, held_out if _both(toxic[held_out]) else has))
+    scores = np.concatenate([model.scores(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(np.diff(offsets))])
+    return Model(model.weights, model.bias, _cutoff(scores, toxic, held_out if _both(toxic[held_out]) else has))
 
 
 def _both(toxic: np.ndarray) -> bool:
@@ -217,21 +232,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A model of the labelled documents, within TRAIN_DOCS and TRAIN_WORDS."""
     marks = base.pick(labels, label_id="doc_id", toxic=toxic_col).where("label_id IS NOT NULL AND toxic IN (0, 1)").groupBy("label_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other")
     # the labelled ids within the bound are told apart before any text is moved
-    chosen = None
-    for kind in (0, 1):
-        part = marks.where(F.col("toxic") == kind).orderBy(F.xxhash64("label_id"), "label_id").limit(TRAIN_DOCS).select("label_id", "toxic")
-        chosen = part if chosen is None else chosen.union(part)
-    ids = {r.label_id: r.toxic for r in chosen.collect()}
-    if not ids:
-        return None
-    small = docs.sparkSession.createDataFrame(list(ids.items()), "label_id long, toxic int")
-    rows = base.pick(docs, id=id_col, text=text_col).where("text IS NOT NULL").join(F.broadcast(small), F.col("id") == F.col("label_id")).select("id", "text", "toxic").toArrow()
-    order = np.argsort(np.array([hash((int(i) * 0x9E3779B1) & 0xFFFFFFFF) for i in rows["id"].to_pylist()]), kind="stable") if rows.num_rows else np.zeros(0, int)
+    parts = [marks.where(F.col("toxic") == kind).orderBy(F.xxhash64("label_id"), "label_id").limit(TRAIN_DOCS).select("label_id", "toxic") for kind in (0, 1)]
+    chosen = parts[0].union(parts[1])
+    rows = base.pick(docs, id=id_col, text=text_col).where("text IS NOT NULL").join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("id", "text", "toxic")
+    # an executor fits, so that neither texts nor their arrays come to the driver
+    found = rows.repartition(1).mapInArrow(_fit_batches, "weights binary, bias double, cutoff double").collect()
+    return Model(np.frombuffer(bytes(found[0].weights), np.float64), found[0].bias, found[0].cutoff) if found else None
+
+
+def _fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A model of all rows (id, text, toxic), in the order of a hash of their ids up to TRAIN_WORDS; no row without one."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    rows = pa.Table.from_batches(held)
+    order = np.lexsort((np.asarray(rows["id"]), mix(np.asarray(rows["id"]).astype(np.uint64))))
     rows = rows.take(pa.array(order))
-    texts, toxic = rows["text"].to_pylist(), np.array(rows["toxic"].to_pylist(), int)
-    total = np.cumsum([t.count(" ") + t.count("\n") + 1 for t in texts])
-    keep = int(np.searchsorted(total, TRAIN_WORDS, side="right")) if len(texts) else 0
-    return fit(texts[:keep], toxic[:keep])
+    words = np.cumsum(np.asarray(pc.add(pc.count_substring(rows["text"], " "), pc.count_substring(rows["text"], "\n"))).astype(np.int64) + 1)
+    keep = int(np.searchsorted(words, TRAIN_WORDS, side="right"))
+    model = fit(rows["text"][:keep].to_pylist(), np.asarray(rows["toxic"])[:keep].astype(int))
+    if model:
+        yield pa.record_batch([pa.array([model.weights.astype(np.float64).tobytes()], pa.binary()), pa.array([float(model.bias)]), pa.array([float(model.cutoff)])], ["weights", "bias", "cutoff"])
 
 
 def _scorer(model: Model):
