@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from geolith.plans import relational, spatial_queries
+
+QUERIES: dict = spatial_queries.QUERIES | relational.QUERIES
+ORACLES: dict[str, str] = spatial_queries.ORACLES | relational.ORACLES
 FLAGSHIP = "spatial_flagship_agg"
