@@ -100,6 +100,8 @@ def best_fit(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES) -> t
 def pack_shard(ids: np.ndarray, lengths: np.ndarray, capacities: tuple[int, ...]) -> dict[str, np.ndarray]:
     """All sequences of a shard: parts (bin, doc, from, n) in order, used and capacity of each bin."""
     most = max(capacities)
+    order = np.lexsort((lengths, ids))
+    ids, lengths = ids[order], lengths[order]
     full, rest = lengths // most, lengths % most
     doc = np.repeat(np.arange(len(ids)), full)
     whole_from = ranges(full) * most
