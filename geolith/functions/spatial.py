@@ -24,7 +24,7 @@ TYPE_NAMES = {1: "Point", 2: "LineString", 3: "Polygon", 4: "MultiPoint", 5: "Mu
 
 def points_of(geoms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """(x, y, valid) where every geometry that isn't null is a plain little-endian point."""
-    if not len(geoms) or not pc.all(pc.equal(pc.binary_length(geoms), 21), skip_nulls=True).as_py():
+    if not len(geoms) or pa.types.is_null(geoms.type) or not pc.all(pc.equal(pc.binary_length(geoms), 21), skip_nulls=True).as_py():
         return None
     valid = np.asarray(geoms.is_valid())
     packed = geoms.drop_null()
@@ -64,7 +64,7 @@ def _rows(function, kinds: str, result: str):
     to = {"binary": pa.binary(), "bytes": pa.binary(), "string": pa.string(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_()}[result]
 
     def run(*columns: pa.Array) -> pa.Array:
-        readers = [_Decoded() if k == "g" else (lambda x: x) for k in kinds]
+        readers = [_Decoded() if k == "g" else float if k == "d" else int if k == "i" else (lambda x: x) for k in kinds]
         out = []
         for row in zip(*(c.to_pylist() for c in columns), strict=True):
             value = None if None in row else function(*(r(x) for r, x in zip(readers, row, strict=True)))
