@@ -63,8 +63,23 @@ def place(df: DataFrame, name: str) -> int:
     raise ValueError(f"no column {name} among {names}")
 
 
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts small, unless the session sets their size itself.
+
+    By default a batch is 10,000 rows however long they are, and several copies of it
+    are held on both sides of a Python worker.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, str(2**31 - 1), f"{2**31 - 1}b", str(2**63 - 1)):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def columns_by_place(df: DataFrame) -> DataFrame:
     """Columns renamed _0, _1 and so on."""
+    small_batches(df.sparkSession)
     return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
 
 

@@ -48,6 +48,7 @@ FALSE_COST = 20.0
 LEVELS = (0.0, 0.0, 0.0005, 0.001, 0.002, 0.005, 0.01, 0.02, 0.03)
 HEADROOM = 1.25
 SCALE = 1000
+SLICE = 1 << 19
 EMPTY = SCALE + 1
 
 _SYMBOL = np.zeros(256, bool)
@@ -110,7 +111,7 @@ def measure(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _measures(texts: pa.Array) -> pa.Array:
     found = [np.zeros((0, len(RULES)), np.int32)]
-    found += [measure(raw, offsets) for _a, _b, raw, offsets, _valid in text_slices(texts)]
+    found += [measure(raw, offsets) for _a, _b, raw, offsets, _valid in text_slices(texts, SLICE)]
     values = np.concatenate(found)
     return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(values[:, k])) for k in range(len(RULES))], list(RULES))
 
