@@ -39,6 +39,7 @@ BUCKETS = 1 << 17
 GRAMS = (3, 4, 5, 6)
 DIM = 8
 WINDOW = 8
+SLICE = 1 << 19
 TRAIN_DOCS = 3000
 TRAIN_WORDS = 2_500_000
 ROUNDS, STEPS, BATCHES = 3, 32, 8
@@ -73,6 +74,14 @@ def subwords(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return flat[order], np.bincount(owner, minlength=len(starts))
 
 
+def _subwords_in_parts(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 16384) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """`subwords` of many words a part at a time, whose bytes alone are gathered."""
+    for a in range(0, len(starts), step):
+        n = (ends - starts)[a : a + step]
+        stop = np.cumsum(n)
+        yield subwords(raw[np.repeat(starts[a : a + step], n) + ranges(n)], stop - n, stop)
+
+
 def distinct_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of a place for each distinct word, distinct word of each place)."""
     _, first, inverse = np.unique(span_hash(raw, starts, ends, lower=True), return_index=True, return_inverse=True)
@@ -123,7 +132,7 @@ def _adam(gradient: np.ndarray, state: list[np.ndarray], step: int, rate: float)
 def _vocabulary(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(starts and ends of a place for each distinct word, distinct word of each place, words per row)."""
     starts, ends, hashes, counts = [], [], [], []
-    for a, b in slices(np.diff(offsets)):
+    for a, b in slices(np.diff(offsets), SLICE):
         o = offsets[a : b + 1]
         s, e, c = word_spans(raw[o[0] : o[-1]], o - o[0])
         hashes.append(span_hash(raw[o[0] : o[-1]], s, e, lower=True))
@@ -145,7 +154,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model | None:
         return None
     has = counts > 0
     held_out = (np.arange(len(texts)) % 4 == 3) & has
-    flat, sizes = subwords(raw, starts, ends)
+    flat, sizes = (np.concatenate(x) for x in zip(*_subwords_in_parts(raw, starts, ends), strict=True))
     begin = np.cumsum(sizes) - sizes
     # windows of the training documents, without overlap
     doc = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
@@ -203,7 +212,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model | None:
         last = np.r_[w_doc[order][1:] != w_doc[order][:-1], True]
         chosen = ~bad
         chosen[order[last]] = True
-    scores = np.concatenate([model.scores(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(np.diff(offsets))])
+    scores = np.concatenate([model.scores(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(np.diff(offsets), SLICE)])
     return Model(model.weights, model.bias, _cutoff(scores, toxic, held_out if _both(toxic[held_out]) else has))
 
 
@@ -258,7 +267,7 @@ def _fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _scorer(model: Model):
     def run(texts: pa.Array) -> pa.Array:
         out = [np.zeros(0)]
-        for _a, _b, raw, offsets, _valid in text_slices(texts):
+        for _a, _b, raw, offsets, _valid in text_slices(texts, SLICE):
             out.append(model.scores(raw, offsets))
         x = np.concatenate(out)
         return pa.array(1 / (1 + np.exp(np.clip(model.cutoff - x, -700, 700))) * np.isfinite(x), pa.float64())
