@@ -10,7 +10,8 @@ toxic, then with only its most toxic window, which is what the label is about. A
 document's score is that of its most toxic window, over all windows.
 
 The fit is bounded (`TRAIN_DOCS` labelled documents of each kind and
-`TRAIN_WORDS` words, taken in the order of a hash of their ids); scoring covers
+`TRAIN_WORDS` words, taken in the order of a hash of their ids; a document that
+doesn't fit is left out and the next is tried, and both kinds always remain); scoring covers
 every word of every text. As the model is linear behind the embeddings, scoring
 needs one number for each subword bucket.
 
@@ -23,7 +24,9 @@ kinds nothing is toxic; every row is judged by itself.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -249,17 +252,49 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(np.frombuffer(bytes(found[0].weights), np.float64), found[0].bias, found[0].cutoff) if found else None
 
 
+def _first_words(text: str, n: int) -> str:
+    """A text up to its n-th blank or line end."""
+    at = next(islice(re.finditer("[ \n]", text), n - 1, None), None)
+    return text[: at.start()] if at else text
+
+
+def within(words: np.ndarray, toxic: np.ndarray, most: int) -> np.ndarray:
+    """Places, in order, of the documents that fit into `most` words; one that doesn't is left out and the next tried.
+
+    The shortest document of each kind is always among them, if need be by its
+    first most // 2 words.
+    """
+    taken = np.zeros(len(words), bool)
+    for kind in (0, 1):
+        of = np.flatnonzero(toxic == kind)
+        if len(of):
+            taken[of[np.argmin(words[of])]] = True
+    left = most - int(np.minimum(words[taken], most // 2).sum())
+    for k in np.flatnonzero(~taken):
+        if words[k] <= left:
+            taken[k] = True
+            left -= int(words[k])
+    return np.flatnonzero(taken)
+
+
 def _fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A model of all rows (id, text, toxic), in the order of a hash of their ids up to TRAIN_WORDS; no row without one."""
+    """A model of all rows (id, text, toxic), in the order of a hash of their ids, of those within TRAIN_WORDS; no row without one."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     rows = pa.Table.from_batches(held)
     order = np.lexsort((np.asarray(rows["id"]), mix(np.asarray(rows["id"]).astype(np.uint64))))
     rows = rows.take(pa.array(order))
-    words = np.cumsum(np.asarray(pc.add(pc.count_substring(rows["text"], " "), pc.count_substring(rows["text"], "\n"))).astype(np.int64) + 1)
-    keep = int(np.searchsorted(words, TRAIN_WORDS, side="right"))
-    model = fit(rows["text"][:keep].to_pylist(), np.asarray(rows["toxic"])[:keep].astype(int))
+    words = np.asarray(pc.add(pc.count_substring(rows["text"], " "), pc.count_substring(rows["text"], "\n"))).astype(np.int64) + 1
+    toxic = np.asarray(rows["toxic"]).astype(int)
+    keep = within(words, toxic, TRAIN_WORDS)
+    texts = rows["text"].take(pa.array(keep)).to_pylist()
+    for kind in (0, 1):  # the shortest of a kind counts as that many words at most
+        of = np.flatnonzero(toxic[keep] == kind)
+        if len(of) and words[keep][of].min() > TRAIN_WORDS // 2:
+            k = of[np.argmin(words[keep][of])]
+            texts[k] = _first_words(texts[k], TRAIN_WORDS // 2)
+    model = fit(texts, toxic[keep])
     if model:
         yield pa.record_batch([pa.array([model.weights.astype(np.float64).tobytes()], pa.binary()), pa.array([float(model.bias)]), pa.array([float(model.cutoff)])], ["weights", "bias", "cutoff"])
 

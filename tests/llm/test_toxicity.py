@@ -45,3 +45,22 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns and {900, 901, 902} <= ids
     assert toxicity.reject(docs.limit(0), marks).collect() == []
     assert toxicity.reject(docs, marks.where("toxic = 0")).count() == docs.count()
+
+
+def test_a_document_beyond_the_bound_does_not_end_the_fit(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_WORDS", 20_000)
+    rows, labels = made(spark)
+    texts = [r[1] for r in rows[:300]]
+    toxic = np.array([t for _, _, t in labels])
+    order = np.argsort(toxicity.mix(np.arange(300).astype(np.uint64)))
+    for huge in (order[0], order[toxic[order] == 1][0]):
+        long = list(texts)
+        long[huge] = "aaa " * 30_000 + long[huge]
+        batch = toxicity.pa.record_batch([toxicity.pa.array(range(300)), toxicity.pa.array(long), toxicity.pa.array(toxic)], ["id", "text", "toxic"])
+        assert len(list(toxicity._fit_batches([batch]))) == 1
+    # only one toxic document, longer than the bound
+    few = [t for t, y in zip(texts, toxic, strict=True) if not y] + [" ".join(["wretched calm"] * 20_000)]
+    batch = toxicity.pa.record_batch([toxicity.pa.array(range(len(few))), toxicity.pa.array(few), toxicity.pa.array([0] * (len(few) - 1) + [1])], ["id", "text", "toxic"])
+    assert len(list(toxicity._fit_batches([batch]))) == 1
+    keep = toxicity.within(np.array([90, 20, 30, 70, 10]), np.array([0, 0, 1, 1, 0]), 100)
+    assert keep.tolist() == [1, 2, 4]
