@@ -126,6 +126,8 @@ def least_grams(g: np.ndarray, width: int) -> np.ndarray:
     n = len(g) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
+    if len(g) > 1 << 24:  # places are packed into 24 bits
+        return np.concatenate([a + least_grams(g[a : a + (1 << 24)], width) for a in range(0, n, (1 << 24) - width + 1)])
     x = (g >> np.uint64(24) << np.uint64(24)) | np.arange(len(g), dtype=np.uint64)
     span = 1
     while span * 2 <= width:

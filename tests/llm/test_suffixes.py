@@ -83,3 +83,11 @@ def test_empty_table(spark):
 def test_one_row_per_id(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (None, "b")], "doc_id long, text string")
     assert sorted(base.unique_ids(df).collect(), key=str) == sorted([(1, "a"), (None, "b"), (None, "b")], key=str)
+
+
+def test_least_grams_of_very_long_texts():
+    g = np.random.default_rng(3).integers(0, 1 << 63, (1 << 24) + 100).astype(np.uint64)
+    got = suffixes.least_grams(g, 26)
+    assert len(got) == len(g) - 25
+    for i in [*range(0, 50), *range((1 << 24) - 60, len(got))]:
+        assert got[i] == i + np.argmin(g[i : i + 26] >> np.uint64(24))
