@@ -1,7 +1,8 @@
 """The corpus pipeline: documents in, packed sequences out.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
-as Parquet and read again as the next stage's documents.
+as Parquet and read again as the next stage's documents. Documents without an id pass
+the first four stages and are left out by the last, as the sequences name their ids.
 """
 
 from __future__ import annotations
