@@ -8,10 +8,16 @@ the vocabulary whose states know their longest proper suffix, and whose tokens
 know the next shorter token that ends them); compatibility is tested by undoing
 merges. Back-pointers from the end give the ids. Pieces are told apart by the
 vocabulary's own splitting pattern, whose rules are worked out here on arrays of
-code points, and all distinct pieces of a slice go through the program at once.
+code points, and the distinct pieces of a slice, told apart by their bytes, go
+through the program together.
 
 The vocabulary is a file of base64 tokens with ranks; its path is a parameter.
-Null texts have null ids; empty texts have none. Text is never cut.
+
+Defined results: a null text has null ids and counts, an empty text none; text is
+never cut, however long; rows without id keep their null; a row that repeats is
+encoded as often as it comes; there are no ties, as every text has one encoding;
+columns beside id and text are not looked at, whatever their names; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,11 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolith.llm import base
-from geolith.llm.textops import ranges, span_hash, text_slices
+from geolith.llm.textops import ranges, text_slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LONG_PIECE = 192
-CACHED_PIECES = 600_000
+CACHE_BYTES = 16 << 20
+CELLS = 1 << 21
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 
 
@@ -191,12 +198,13 @@ class Encoder:
         self.edges = Table(keys, values)
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
+        self.held = 0
         self.cached_ids, self.cached_counts, self.cached_starts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def __getstate__(self):
         state = dict(self.__dict__)
-        for name in ("known", "cached_ids", "cached_counts", "cached_starts"):
+        for name in ("known", "held", "cached_ids", "cached_counts", "cached_starts"):
             state.pop(name)
         return state
 
@@ -280,34 +288,38 @@ class Encoder:
 
     def _one(self, piece: bytes) -> np.ndarray:
         """The same program for one long piece."""
-        if not hasattr(self, "_maps"):
-            self._maps = (
-                {int(k): int(v) for k, v in zip(self.edges.keys, self.edges.values, strict=True) if k >= 0},
-                {int(k): int(v) for k, v in zip(self.pairs.keys, self.pairs.values, strict=True) if k >= 0},
-                self.fail.tolist(), self.longest.tolist(), self.shorter.tolist(), self.lengths.tolist(), self.split.tolist(), {},
-            )
-        edges, pairs, fail, longest, shorter, lengths, split, tested = self._maps
+        edge_keys, edge_to, pair_keys, pair_to = map(memoryview, (self.edges.keys, self.edges.values, self.pairs.keys, self.pairs.values))
+        fail, longest, shorter, lengths, split = map(memoryview, (self.fail, self.longest, self.shorter, self.lengths, self.split))
+        tested: dict[tuple[int, int], bool] = {}
+
+        def find(keys: memoryview, values: memoryview, table: Table, key: int) -> int:
+            at = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> int(table.shift)
+            while keys[at] != key:
+                if keys[at] == -1:
+                    return -1
+                at = (at + 1) & table.mask
+            return values[at]
 
         def fits(a: int, b: int) -> bool:
             limit = 1 << 40
             while True:
-                merged = pairs.get(a * self.size + b, -1)
+                merged = find(pair_keys, pair_to, self.pairs, a * self.size + b)
                 if 0 <= merged < limit:
                     return False
                 one_a, one_b = lengths[a] == 1, lengths[b] == 1
                 if one_a and one_b:
                     return True
                 if not one_a and (one_b or a > b):
-                    limit, a = a, split[a][1]
+                    limit, a = a, split[a, 1]
                 else:
-                    limit, b = b + 1, split[b][0]
+                    limit, b = b + 1, split[b, 0]
 
         last, state = [-1], 0
         for i, byte in enumerate(piece, 1):
-            to = edges.get(state * 256 + byte, -1)
+            to = find(edge_keys, edge_to, self.edges, state * 256 + byte)
             while to < 0 and state:
                 state = fail[state]
-                to = edges.get(state * 256 + byte, -1)
+                to = find(edge_keys, edge_to, self.edges, state * 256 + byte)
             state = max(to, 0)
             t = longest[state]
             while t >= 0:
@@ -317,7 +329,7 @@ class Encoder:
                 if before >= 0:
                     key = (before, t)
                     if key not in tested:
-                        if len(tested) > 1_000_000:
+                        if len(tested) > 1 << 15:
                             tested.clear()
                         tested[key] = fits(before, t)
                     if tested[key]:
@@ -332,48 +344,55 @@ class Encoder:
             at -= lengths[last[at]]
         return np.array(out[::-1], np.int32)
 
-    def encode_pieces(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(flat ids, ids per piece); each distinct piece is worked out once."""
+    def encode_pieces(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, ids per piece) of pieces that lie side by side; each distinct one is worked out once.
+
+        Pieces are told apart by their bytes. Results are kept for the next call
+        up to about CACHE_BYTES.
+        """
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        _, first, inverse = np.unique(h := span_hash(raw, starts, ends), return_index=True, return_inverse=True)
-        keys = h[first].tolist()
-        places = [self.known.get(k, -1) for k in keys]
-        place = np.array(places, np.int64)
+        edges = np.r_[starts, len(raw)].astype(np.int64)
+        found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
+        inverse, distinct = np.asarray(found.indices), found.dictionary
+        keys = distinct.to_pylist()
+        place = np.fromiter((self.known.get(k, -1) for k in keys), np.int64, len(keys))
         new = np.flatnonzero(place < 0)
         if len(new):
-            if len(self.known) > CACHED_PIECES:
-                self._clear()
-                new = np.arange(len(keys))
-            lengths = (ends - starts)[first[new]]
+            bound = np.frombuffer(distinct.buffers()[1], np.int64)[: len(keys) + 1]
+            body = np.frombuffer(distinct.buffers()[2], np.uint8)
+            lengths = np.diff(bound)[new]
             order = np.argsort(-lengths, kind="stable")
             new, lengths = new[order], lengths[order]
-            begin = starts[first[new]]
-            long = int(np.searchsorted(-lengths, -LONG_PIECE, side="left"))
-            ids, counts = [], []
-            for k in range(long):
-                x = self._one(raw[begin[k] : begin[k] + lengths[k]].tobytes())
-                ids.append(x)
-                counts.append(np.array([len(x)]))
-            for a in range(long, len(new), 65536):
-                x, c = self._program(raw, begin[a : a + 65536], lengths[a : a + 65536])
+            begin = bound[new]
+            at = int(np.searchsorted(-lengths, -LONG_PIECE, side="left"))
+            ids = [self._one(keys[k]) for k in new[:at].tolist()]
+            counts = [np.array([len(x) for x in ids], np.int64)]
+            while at < len(new):
+                step = max(1, CELLS // int(lengths[at] + 1))
+                x, c = self._program(body, begin[at : at + step], lengths[at : at + step])
                 ids.append(x)
                 counts.append(c)
-            at = len(self.cached_counts)
+                at += step
             count = np.concatenate(counts)
+            first = len(self.cached_counts)
             self.cached_starts = np.r_[self.cached_starts, len(self.cached_ids) + np.cumsum(count) - count]
             self.cached_ids = np.concatenate([self.cached_ids, *ids])
             self.cached_counts = np.r_[self.cached_counts, count]
-            place[new] = at + np.arange(len(new))
-            self.known.update(zip((keys[i] for i in new.tolist()), range(at, at + len(new)), strict=True))
+            place[new] = first + np.arange(len(new))
+            self.known.update(zip((keys[i] for i in new.tolist()), range(first, first + len(new)), strict=True))
+            self.held += int(lengths.sum()) + 4 * int(count.sum()) + 160 * len(new)
         place = place[inverse]
-        counts = self.cached_counts[place]
-        return self.cached_ids[np.repeat(self.cached_starts[place], counts) + ranges(counts)], counts
+        counts, starts = self.cached_counts[place], self.cached_starts[place]
+        out = self.cached_ids[np.repeat(starts, counts) + ranges(counts)]
+        if self.held > CACHE_BYTES:
+            self._clear()
+        return out, counts
 
     def encode_rows(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, ids per row) of UTF-8 rows."""
         starts, per_row = pieces(raw, offsets)
-        ids, counts = self.encode_pieces(raw, starts, np.r_[starts[1:], len(raw)])
+        ids, counts = self.encode_pieces(raw, starts)
         total = np.r_[0, np.cumsum(counts)]
         edge = np.r_[0, np.cumsum(per_row)]
         return ids, np.diff(total[edge])

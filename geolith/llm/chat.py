@@ -1,15 +1,15 @@
 """Chat formatting by splicing ids: control ids are never made from text.
 
 Each turn of a conversation is one segment of ordinary text, encoded by itself.
-Around it come reserved ids beyond the vocabulary: `BEGIN`, the id of its role,
-its ids, `END`. A control string in a turn's text can't become a control id, as
+Around it come reserved ids beyond the vocabulary (`reserved`): begin, the id of its
+role, its ids, end. A control string in a turn's text can't become a control id, as
 segments are only ever encoded as plain text; so that it can't be taken for one
 in a printed transcript either, it is escaped: a control string `<|name|>`, and
 any that stands escaped already, gets one more backslash behind its `<`
 (`unescape` takes it off again, so that every text comes back exactly).
 
 The mask of trained ids is a running sum of marks: +1 where an assistant's
-content begins, -1 behind its `END`.
+content begins, -1 behind its end.
 
 Defined results: turns are in the order of (turn, role, text), nulls first; a
 null text is an empty segment; a null or unknown role is `other`; rows without
@@ -33,13 +33,15 @@ from geolith.llm.textops import text_slices
 
 ROLES = ("system", "user", "assistant", "tool", "other")
 TRAINED = "assistant"
-FIRST_RESERVED = 50_257
-BEGIN, END = FIRST_RESERVED, FIRST_RESERVED + 1
-ROLE_IDS = {role: FIRST_RESERVED + 2 + i for i, role in enumerate(ROLES)}
 CONTROL = ("begin", "end", *ROLES)
 _CONTROL = rf"<(\\*)\|({'|'.join(CONTROL)})\|>"
 
 
+def reserved(encoder: bpe.Encoder) -> dict[str, int]:
+    """The id of each control: behind the vocabulary's ids, whose own end mark keeps the first one."""
+    return {name: encoder.size + 1 + i for i, name in enumerate(CONTROL)}
+
+
 def escape(text: str) -> str:
     """The text with a backslash in each control string."""
     return re.sub(_CONTROL, r"<\\\1|\2|>", text)
@@ -57,8 +59,9 @@ def escape_array(texts: pa.Array) -> pa.Array:
 
 def assemble(encoder: bpe.Encoder, roles: list[str | None], texts: pa.Array, turns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(flat ids, flat mask, ids per conversation) of conversations with so many turns each."""
-    known = [r if r in ROLE_IDS else "other" for r in roles]
-    role = np.array([ROLE_IDS[r] for r in known], np.int32)
+    control = reserved(encoder)
+    known = [r if r in ROLES else "other" for r in roles]
+    role = np.array([control[r] for r in known], np.int32)
     trained = np.array([r == TRAINED for r in known])
     parts, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     for _a, _b, raw, offsets, _valid in text_slices(escape_array(pc.fill_null(texts, ""))):
@@ -73,7 +76,7 @@ def assemble(encoder: bpe.Encoder, roles: list[str | None], texts: pa.Array, tur
     inside = np.ones(len(out), bool)
     inside[start] = inside[start + 1] = inside[stop - 1] = False
     out[inside] = content
-    out[start], out[start + 1], out[stop - 1] = BEGIN, role, END
+    out[start], out[start + 1], out[stop - 1] = control["begin"], role, control["end"]
     marks = np.zeros(len(out) + 1, np.int32)
     marks[start[trained] + 2] += 1
     marks[stop[trained]] -= 1

@@ -26,7 +26,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """P^0..P^(n-1) and their inverses modulo 2^64, grown on demand."""
     have = _powers.get("p")
     if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = 1 << (n - 1).bit_length() if n > 1 else 1
         for key, base in (("p", _P), ("q", _PINV)):
             x = np.full(size, base, dtype=np.uint64)
             x[0] = 1
@@ -103,20 +103,33 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def span_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each byte span, equal for equal bytes wherever they stand."""
+    """A 64-bit hash of each byte span, equal for equal bytes wherever they stand.
+
+    Each byte counts as a random number of its value and its place in the span, so
+    that no periodic or self-similar spans cancel out, as they do in polynomials
+    modulo 2^64.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    if lower:
-        raw = _LOWER[raw]
-    p, q = powers(len(raw) + 1)
-    sums = np.empty(len(raw) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * p[: len(raw)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * q[starts] + (ends - starts).astype(np.uint64))
+    n = ends - starts
+    place = ranges(n)
+    key = raw[np.repeat(starts, n) + place]
+    key = (_LOWER[key] if lower else key).astype(np.int64)
+    key += place << 8
+    if n.max() <= _TABLED:
+        values = _RANDOM[key]
+    else:
+        values = mix((key + 1).astype(np.uint64) * _P)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values, out=sums[1:])
+    last = np.cumsum(n)
+    return mix(sums[last] - sums[last - n] + n.astype(np.uint64))
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_TABLED = 128
+_RANDOM = mix(np.arange(1, (_TABLED << 8) + 1, dtype=np.uint64) * _P)
 
 
 def segment_sum(values: np.ndarray, counts: np.ndarray) -> np.ndarray:

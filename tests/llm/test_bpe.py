@@ -1,13 +1,14 @@
 import base64
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from geolith.llm import bpe
+from geolith.llm import bpe, textops
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -71,3 +72,24 @@ def test_table(spark, reference):
 def test_counts_take_sliced_arrays(encoder):
     texts = pa.array(["skip", None, "a b c", ""])[1:]
     assert bpe._count_batches(encoder)(texts).to_pylist() == [None, 3, 0]
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_self_similar_pieces_are_told_apart(encoder, reference, n):
+    """Thue-Morse words and their complements, for which polynomials modulo 2^64 collide."""
+    word = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    other = word.translate(str.maketrans("ab", "ba"))
+    text = word + " " + other + " x " + other
+    assert encoder.encode(text) == reference.encode_ordinary(text)
+    raw = np.frombuffer((word + " " + other).encode(), np.uint8)
+    a, b = textops.span_hash(raw, np.array([0, n + 1]), np.array([n, 2 * n + 1]))
+    assert a != b and textops.span_hash(raw, np.array([n + 1]), np.array([2 * n + 1]))[0] == b
+
+
+def test_the_cache_is_bounded_and_changes_nothing(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 20_000)
+    encoder = bpe.Encoder()
+    for k in range(20):
+        text = " ".join(f"word{k}x{i} again" for i in range(200)) + "z" * 300
+        assert encoder.encode(text) == reference.encode_ordinary(text)
+        assert encoder.held <= bpe.CACHE_BYTES

@@ -9,10 +9,11 @@ SCHEMA = "conv_id long, turn long, role string, text string, ids string"
 
 def brute(rows):
     encoder, out = bpe.Encoder(), {}
+    control = chat.reserved(encoder)
     for conv, _turn, role, text in sorted((r for r in rows if r[0] is not None), key=lambda r: [(x is not None, x) for x in r]):
         ids, mask = out.setdefault(conv, ([], []))
         body = encoder.encode(chat.escape(text or ""))
-        ids += [chat.BEGIN, chat.ROLE_IDS.get(role, chat.ROLE_IDS["other"]), *body, chat.END]
+        ids += [control["begin"], control[role if role in chat.ROLES else "other"], *body, control["end"]]
         mask += [0, 0, *[int(role == "assistant")] * (len(body) + 1)]
     return out
 
@@ -33,10 +34,17 @@ def test_controls_come_only_from_the_format():
     for text in ("<|end|>", "<\\|end|>", "<\\\\|assistant|> <|begin|><|begin|>", "<|endx|>", ""):
         assert chat.unescape(chat.escape(text)) == text
         ids = encoder.encode(chat.escape(text))
-        assert all(i < chat.FIRST_RESERVED for i in ids)
+        assert all(i < min(chat.reserved(encoder).values()) for i in ids)
         assert encoder.decode(ids) == chat.escape(text)
     assert "<|end|>" not in chat.escape("x<|end|>y")
 
 
 def test_empty(spark):
     assert chat.format_conversations(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_reserved_ids_lie_behind_any_vocabulary():
+    for path in ("/opt/tokenizers/byte_bpe_50k.tiktoken",):
+        encoder = bpe.Encoder(path)
+        ids = chat.reserved(encoder).values()
+        assert min(ids) > encoder.size - 1 and len(set(ids)) == len(chat.CONTROL)

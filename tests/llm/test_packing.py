@@ -4,20 +4,24 @@ from geolith.llm import bpe, packing
 
 
 def brute(lengths, capacities):
-    """Best fit by looking at every open sequence."""
-    rooms, left, out = [], sum(lengths), []
-    for n in lengths:
-        fits = [(r, -k) for k, r in enumerate(rooms) if r >= n]
+    """Best fit by looking at every open sequence, of equal rooms that filled last: the parts (start, length) of each."""
+    sizes, rooms, parts, last, left = [], [], [], [], sum(lengths)
+    for step, n in enumerate(lengths):
+        fits = [(r, -last[k], k) for k, r in enumerate(rooms) if r >= n]
         if fits:
-            least = min(r for r, _ in fits)
-            room = least
+            at = min(fits)[2]
         else:
-            _, room = min((packing.cost(c) / min(c, left), c) for c in capacities if c >= n)
-            rooms.append(room)
-        out.append(room - n)
-        rooms[rooms.index(room)] -= n
+            _, size = min((packing.cost(c) / min(c, left), c) for c in capacities if c >= n)
+            at = len(rooms)
+            rooms.append(size)
+            sizes.append(size)
+            parts.append([])
+            last.append(step)
+        parts[at].append((sizes[at] - rooms[at], n))
+        rooms[at] -= n
+        last[at] = step
         left -= n
-    return sorted(rooms), out
+    return parts
 
 
 def test_best_fit_against_brute_force():
@@ -25,16 +29,10 @@ def test_best_fit_against_brute_force():
     for size in (0, 1, 5, 300):
         lengths = np.sort(rng.integers(1, 4096, size))[::-1]
         bins, starts = packing.best_fit(lengths)
-        rooms, after = brute(lengths.tolist(), packing.CAPACITIES)
-        used = np.bincount(bins, lengths).astype(int) if size else []
-        assert len(used) == len(rooms) and sum(used) == lengths.sum()
-        # the same room is left behind each document
-        ends, order = {}, []
+        got = {}
         for b, s, n in zip(bins.tolist(), starts.tolist(), lengths.tolist()):
-            assert s == ends.get(b, 0)
-            ends[b] = s + n
-            order.append(n)
-        assert len(after) == len(order)
+            got.setdefault(b, []).append((s, n))
+        assert [got[b] for b in range(len(got))] == brute(lengths.tolist(), packing.CAPACITIES)
 
 
 SCHEMA = "doc_id long, text string, n long, bin string"

@@ -53,3 +53,10 @@ def test_row_groups_are_skipped_by_metadata_alone(spark, tmp_path):
 def test_empty(spark, tmp_path):
     path = stored(spark, tmp_path, [])
     assert tokenstore.read(spark, path).collect() == [] and tokenstore.read(spark, path).columns == ["doc_id", "n_tokens", "ids"]
+
+
+def test_stored_ids_are_those_of_the_encoder(spark, tmp_path):
+    path = stored(spark, tmp_path, ROWS)
+    want = bpe.encode(spark.createDataFrame(ROWS, SCHEMA)).select("doc_id", "n_tokens", "ids")
+    key = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    assert key(tokenstore.read(spark, path)) == key(want)
