@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only a local master without that setting gets a temporary folder of its own.
+    Only a local master, which has one machine, gets a temporary folder of its own
+    where nothing is set.
     """
     context = spark.sparkContext
     where = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not where:
-        if not context.master.startswith("local["):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="geolith-shared-")
     if not context.getCheckpointDir():
@@ -36,14 +43,67 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that isn't there yet."""
+    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The same rows, written as Parquet to the shared folder and read again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
+    if (paths := _scratch.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession, keep: Callable[[], DataFrame]) -> Iterator[None]:
+    """Delete, at the end, what `written` wrote meanwhile, but for what `keep()` reads."""
+    before, paths = _scratch.get(), []
+    _scratch.set(paths)
+    try:
+        yield
+        read = {f.rsplit("/", 2)[1] for f in keep().inputFiles()}
+        for path in paths:
+            if path.rsplit("/", 1)[1] not in read:
+                remove(spark, path)
+    finally:
+        _scratch.set(before)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Run) -> Run:
+    """The same partition function, which gives its memory back at its end: Python workers live on."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return lean
+
+
+def release() -> None:
+    """Return freed memory to the system; the allocators would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under new names, however other columns are called.
 
@@ -88,17 +148,21 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def unique_ids(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row for each id, whichever comes first; rows without an id stay.
+def unique_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each id, that of the least text (nulls first); rows without an id stay.
 
-    The texts are only shuffled where some id does repeat.
+    Of rows with equal ids and texts that of the least hash stays. The texts are only
+    shuffled where some id does repeat.
     """
     key = pick(docs, id=id_col).where("id IS NOT NULL")
     if key.groupBy("id").count().where("count > 1").isEmpty():
         return docs
-    names, at = docs.columns, f"_{place(docs, id_col)}"
+    names, at, text = docs.columns, f"_{place(docs, id_col)}", f"_{place(docs, text_col)}"
     flat = columns_by_place(docs)
-    return flat.where(F.col(at).isNotNull()).dropDuplicates([at]).unionByName(flat.where(F.col(at).isNull())).toDF(*names)
+    hashed = [f.name for f in flat.schema if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]
+    order = F.struct(F.col(text).isNotNull(), F.col(text), F.xxhash64(*hashed))
+    one = flat.where(F.col(at).isNotNull()).groupBy(F.col(at).alias("key")).agg(F.min_by(F.struct(*flat.columns), order).alias("row"))
+    return one.select(*[F.col("row")[c].alias(c) for c in flat.columns]).unionByName(flat.where(F.col(at).isNull())).toDF(*names)
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -7,12 +7,16 @@ other by vertical bit planes (``bitslice``). The blocking is approximate (a pair
 whose five-word shingles have Jaccard similarity s is met with probability
 1 - (1 - s)^KEYS, over 0.97 at 0.3); the comparison is exact, without any cap.
 A block passes on its components rather than its pairs, so a family of n copies
-costs n edges, and components of those edges are the groups.
+costs n edges, and components of those edges are the groups. A block of over `TILE`
+members (a shingle that many texts share) becomes tiles that hold each pair of its
+sub-blocks, so that its comparisons are spread over tasks and none is left out.
 
 Defined results: a null text or null id is in no group; texts without words are
 copies of each other; a shorter text than a shingle is one shingle; equal texts
 are always grouped; rows that repeat an id are one document whose signature is
-that of its least (signature) row. The least id of a group is kept.
+that of its least (signature) row, and `dedup` keeps that of the least text. Of equal
+signatures and of a group the least id is kept. Ids are integers. Columns beside id
+and text are not looked at, whatever their names; an empty table has no groups.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ KEYS = 10
 FEATURE_WORDS = 2
 KEY_WORDS = 5
 WORDS = 2
+TILE = 1 << 17
 
 _SPREAD = np.zeros(256, dtype=np.uint64)
 for _k in range(8):
@@ -43,7 +48,7 @@ def shingles(h: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.
     rank = ranges(counts)
     g = h * np.uint64(0x100000001B3)
     starts = np.cumsum(counts) - counts
-    for j in range(1, k):
+    for j in range(1, min(k, len(g))):
         g[: len(g) - j] = g[: len(g) - j] * np.uint64(0x100000001B3) + h[j:]
     short = np.flatnonzero((counts > 0) & (counts < k))
     for c in range(1, k):
@@ -107,7 +112,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, s0, s1, keys) of every text that is not null and has an id."""
-    return base.pick(docs, id=id_col, text=text_col).where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(_signatures, "id long, s0 long, s1 long, keys array<long>")
+    return base.pick(docs, id=id_col, text=text_col).where("id IS NOT NULL AND text IS NOT NULL").mapInArrow(base.tidy(_signatures), "id long, s0 long, s1 long, keys array<long>")
 
 
 def _block_edges(radius: int):
@@ -117,39 +122,65 @@ def _block_edges(radius: int):
             if not batch.num_rows:
                 continue
             held.append(np.stack([np.asarray(c) for c in batch.columns], axis=1))
-            if held[-1][0, 0] == held[-1][-1, 0] == held[0][0, 0]:
+            if (held[-1][-1, :2] == held[0][0, :2]).all():
                 continue  # one block goes on
             rows = np.concatenate(held)
-            end = int(np.flatnonzero(rows[:, 0] != rows[-1, 0])[-1]) + 1
+            end = int(np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))[-1]) + 1
             held = [rows[end:]]
             yield from edges(rows[:end])
         if held:
             yield from edges(np.concatenate(held))
 
     def edges(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        first = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+        first = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
         counts = np.diff(np.r_[first, len(rows)])
         chosen = np.repeat(counts > 1, counts)
         rows, counts = rows[chosen], counts[counts > 1]
         if not len(rows):
             return
-        sigs = np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
+        sigs = np.ascontiguousarray(rows[:, 3:]).view(np.uint64)
         roots = bitslice.block_roots(sigs, counts, radius)
         linked = roots != np.arange(len(roots))
-        yield pa.record_batch([pa.array(rows[linked, 1]), pa.array(rows[roots[linked], 1])], ["a", "b"])
+        yield pa.record_batch([pa.array(rows[linked, 2]), pa.array(rows[roots[linked], 2])], ["a", "b"])
 
     return run
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def tiles(blocks: DataFrame, tile: int = TILE) -> DataFrame:
+    """Blocks (key, id, s0, s1) with a tile each: (key, tile, id, s0, s1).
+
+    A block of more than `tile` members is dealt to n sub-blocks, and each two of
+    them (and each with itself, within the pairs) make a tile, so that no task
+    holds a hot block and every pair of its members still meets in some tile.
+    """
+    sizes = blocks.groupBy("key").count().where(F.col("count") > tile)
+    hot = cut_small(sizes)
+    if hot is None:
+        return blocks.select("key", F.lit(0).cast("long").alias("tile"), "id", "s0", "s1")
+    n = (F.floor(F.col("count") / tile) + 1).cast("long")
+    dealt = blocks.join(hot, "key").withColumn("n", n).withColumn("i", F.pmod(F.xxhash64("id"), F.col("n")))
+    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).where("i <> j")
+    low, high = F.least("i", "j"), F.greatest("i", "j")
+    parts = dealt.select("key", (low * F.col("n") + high).alias("tile"), "id", "s0", "s1")
+    return blocks.join(hot.select("key"), "key", "left_anti").select("key", F.lit(0).cast("long").alias("tile"), "id", "s0", "s1").union(parts)
+
+
+def cut_small(df: DataFrame) -> DataFrame | None:
+    """A checkpoint of a table that is mostly empty, None where it is."""
+    found = base.cut(df)
+    return None if found.isEmpty() else found
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """(id, root) of every document that is in a group of two or more."""
     sigs = base.written(signatures(docs, id_col, text_col), "signatures")
     one = sigs.groupBy("id").agg(F.min(F.struct("s0", "s1", "keys")).alias("s")).select("id", "s.*")
     # equal signatures first: they need one representative in the search
     alike = one.groupBy("s0", "s1").agg(F.min(F.struct("id", "keys")).alias("m"), F.count("*").alias("n")).select("s0", "s1", F.col("m.id").alias("id"), F.col("m.keys").alias("keys"), "n")
+    alike = base.written(alike, "signature-leaders")
     same = one.select("s0", "s1", F.col("id").alias("a")).join(alike.where("n > 1").select("s0", "s1", F.col("id").alias("b")), ["s0", "s1"]).where("a <> b").select("a", "b")
     blocks = alike.select(F.explode(F.array_distinct("keys")).alias("key"), "id", "s0", "s1")
-    near = blocks.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_block_edges(radius), "a long, b long")
+    near = tiles(blocks, tile).repartition("key", "tile").sortWithinPartitions("key", "tile", "id").mapInArrow(base.tidy(_block_edges(radius)), "a long, b long")
     return base.components(same.union(near)).withColumnRenamed("node", "id")
 
 
@@ -166,7 +197,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radiu
     Rows without id or text stay. Of rows that repeat an id, one stays.
     """
     dropped = duplicates(docs, id_col, text_col, radius).select(F.col("doc_id").alias("id"))
-    return base.drop_ids(base.unique_ids(docs, id_col), dropped, id_col)
+    return base.drop_ids(base.unique_ids(docs, id_col, text_col), dropped, id_col)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

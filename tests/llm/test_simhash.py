@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from geolith.llm import base, simhash
 
@@ -59,3 +61,28 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101)]
     got = {r.node: r.root for r in base.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5])
+def test_batches_of_few_words(n):
+    """A batch that holds so many words in all, in one text and in several."""
+    words = [f"w{i}" for i in range(n)]
+    for texts in ([" ".join(words)], words, ["", " ".join(words), None]):
+        batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["id", "text"])
+        out = pa.Table.from_batches(simhash._signatures(iter([batch])))
+        assert out.num_rows == sum(t is not None for t in texts)
+
+
+def test_tiles_keep_every_pair(spark):
+    rows, _ = corpus()
+    rows += [(1000 + i, f"boiler plate that all share {i * 7919 % 613} " + " ".join(f"t{i}x{j}" for j in range(3)), "", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(map(tuple, simhash.groups(docs).collect()))
+    assert sorted(map(tuple, simhash.groups(docs, tile=7).collect())) == want
+    blocks = spark.createDataFrame([(1, i, i, i) for i in range(50)] + [(2, i, i, i) for i in range(4)], "key long, id long, s0 long, s1 long")
+    held = {}
+    for r in simhash.tiles(blocks, 8).collect():
+        held.setdefault((r.key, r.tile), set()).add(r.id)
+    pairs = {(k, a, b) for (k, _), ids in held.items() for a in ids for b in ids if a < b}
+    assert pairs == {(1, a, b) for a in range(50) for b in range(a + 1, 50)} | {(2, a, b) for a in range(4) for b in range(a + 1, 4)}
+    assert max(map(len, held.values())) < 40
