@@ -13,13 +13,18 @@ repeats of a document merge into spans.
    passages have equal grams, so only passages whose gram another place shares
    can repeat across shards; the grams, a fraction of the positions, are shuffled
    and counted.
-3. Passages of shared grams are fingerprinted (64 bits) and each gram's sorted
-   runs of all shards are merged by binary search: a passage whose fingerprint
-   stands earlier in the order is a repeat.
+3. Passages of shared grams are fingerprinted (64 bits) and each gram's runs of all
+   shards are merged by binary search: a passage whose fingerprint stands earlier in
+   the order is a repeat. A merge keeps one entry for each distinct passage of the
+   gram and lets the rest pass by. The passages of a gram of more than `HOT` places
+   (a line that many texts share) are dealt to tasks by their fingerprints.
 
 Defined results: null texts and null ids are left alone, texts of fewer words
 have no passages, repeats inside one document count, a run that repeats with a
-short period keeps its first period, and of rows that repeat an id one stays.
+short period keeps its first period, and of rows that repeat an id that of the least
+text stays. Ids are integers. Of equal passages the first by (id, word) is kept.
+A document may be of any length: it is one shard by itself. Columns beside id, text
+and length are not looked at, whatever their names; an empty table has no repeats.
 """
 
 from __future__ import annotations
@@ -28,8 +33,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +44,7 @@ from geolith.llm.textops import buffers, mix, powers, ranges, slices, span_hash,
 MIN_WORDS = 50
 ANCHOR_WORDS = 25
 SHARD_WORDS = 1_500_000
+HOT = 1 << 16
 LANES = 4096
 STEP = 16
 
@@ -58,19 +64,20 @@ def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = key * base_
         key[: n - h] += first[h:]
         h += 1
-    sa = np.argsort(key)
-    sorted_key = key[sa]
-    new = np.r_[True, sorted_key[1:] != sorted_key[:-1]]
-    head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
-    rank[sa] = head
+    del first
+    sa = np.argsort(key).astype(_places(n))
+    key = key[sa]
+    new = np.r_[True, key[1:] != key[:-1]]
+    del key
+    rank = np.empty(n, sa.dtype)
+    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=sa.dtype), 0))
     while True:
         single = new & np.r_[new[1:], True]
         slots = np.flatnonzero(~single)
         if not len(slots):
             return sa, rank
         p = sa[slots]
-        key = rank[p] * np.int64(n + 1) + rank[np.minimum(p + h, n - 1)]
+        key = rank[p].astype(np.int64) * (n + 1) + rank[np.minimum(p + np.int64(h), n - 1)]
         order = np.argsort(key)
         p, key = p[order], key[order]
         sa[slots] = p
@@ -80,6 +87,11 @@ def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h *= 2
 
 
+def _places(n: int) -> type:
+    """The integers that hold places of a shard of n tokens."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 def common_prefixes(tokens: np.ndarray, sa: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """lcp[r] of the suffixes sa[r - 1] and sa[r], by Kasai's method.
 
@@ -87,7 +99,7 @@ def common_prefixes(tokens: np.ndarray, sa: np.ndarray, rank: np.ndarray) -> np.
     carries the prefix over, less one, to the next position.
     """
     n = len(tokens)
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, _places(n))
     lanes = max(1, min(LANES, n // 8))
     bounds = np.linspace(0, n, lanes + 1).astype(np.int64)
     at, stop = bounds[:-1].copy(), bounds[1:]
@@ -140,17 +152,26 @@ def shard_repeats(h: np.ndarray, counts: np.ndarray, min_words: int) -> np.ndarr
     """For each word position: the position of the first equal passage, or -1
     where no passage of min_words starts (too close to its document's end)."""
     n, docs = len(h), len(counts)
-    values, tokens = np.unique(h, return_inverse=True)
+    kind = _places(n + docs)
+    order = np.argsort(h)
+    values = h[order]
+    tokens = np.empty(n, kind)
+    tokens[order] = np.cumsum(np.r_[False, values[1:] != values[:-1]], dtype=kind)
+    known = int(tokens[order[-1]]) + 1
+    del order, values
     ends = np.cumsum(counts)
-    text = np.insert(tokens, ends, len(values) + np.arange(docs))
-    place = np.insert(np.arange(n), ends, -1)
+    text = np.insert(tokens, ends, known + np.arange(docs))
+    del tokens
     sa, rank = suffix_array(text)
     lcp = common_prefixes(text, sa, rank)
+    del rank
+    place = np.insert(np.arange(n, dtype=kind), ends, -1)
     starts = np.flatnonzero(np.r_[True, lcp[1:] < min_words])
+    del lcp
     first = np.minimum.reduceat(sa, starts)
-    out = np.empty(len(text), np.int64)
+    out = np.empty(len(text), kind)
     out[sa] = place[np.repeat(first, np.diff(np.r_[starts, len(sa)]))]
-    out = out[place >= 0]
+    out = out[place >= 0].astype(np.int64)
     out[np.repeat(counts, counts) - ranges(counts) < min_words] = -1
     return out
 
@@ -225,7 +246,7 @@ def _shards(min_words: int, anchor_words: int, shard_words: int):
     return run
 
 
-def _fingerprints(min_words: int):
+def _fingerprints(min_words: int, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             array = string_array(batch.column(1))
@@ -237,54 +258,93 @@ def _fingerprints(min_words: int):
                 f = gram_hash(span_hash(piece, starts, ends), min_words)
                 anchors = batch.column(2).slice(a, b - a)
                 sizes = np.asarray(anchors.value_lengths()).astype(np.int64)
-                grams, places, masks = (np.asarray(anchors.flatten().field(k)) for k in range(3))
+                grams, places, masks, n = (np.asarray(anchors.flatten().field(k)) for k in range(4))
                 ids = np.repeat(np.asarray(batch.column(0))[a:b], sizes)
                 begin = np.repeat(np.cumsum(counts) - counts, sizes)
-                bits = (masks[:, None] >> np.arange(63)[None, ::-1]) & 1 if len(masks) else np.zeros((0, 63), np.int64)
-                row, col = np.nonzero(bits)
-                values = f[begin[row] + places[row] - (62 - col)]
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(row, minlength=len(ids)))].astype(np.int32)), pa.array(values.view(np.int64)))
-                yield pa.record_batch([pa.array(grams), pa.array(ids), pa.array(places.astype(np.int32)), pa.array(masks), lists], ["gram", "id", "place", "mask", "prints"])
+                row, shift = _passages(masks)
+                values = f[begin[row] + places[row] - shift]
+                # the passages of a hot gram are dealt by their fingerprints: equal ones stay together
+                salt = (values % (1 + n[row] // hot).astype(np.uint64)).astype(np.int64)
+                order = np.lexsort((-shift, salt, row))
+                row, shift, values, salt = row[order], shift[order], values[order], salt[order]
+                at = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (salt[1:] != salt[:-1])][: len(row)])
+                sized = np.diff(np.r_[at, len(row)])
+                bits = np.bitwise_or.reduceat(np.int64(1) << shift, at) if len(at) else np.zeros(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sized)].astype(np.int32)), pa.array(values.view(np.int64)))
+                of = row[at]
+                yield pa.record_batch([pa.array(grams[of]), pa.array(salt[at]), pa.array(ids[of]), pa.array(places[of].astype(np.int32)), pa.array(bits), lists], ["gram", "salt", "id", "place", "mask", "prints"])
 
     return run
 
 
+def _passages(masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, words before the anchor) of the passages in the masks, the earliest start first."""
+    row, col = np.nonzero((masks[:, None] >> np.arange(63)[None, ::-1]) & 1) if len(masks) else (np.zeros(0, np.int64),) * 2
+    return row, 62 - col
+
+
+class _Seen:
+    """The first source of each fingerprint of a gram, in order of the fingerprints."""
+
+    def __init__(self):
+        self.prints, self.sources = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def sources_of(self, prints: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(repeats, their sources): those whose fingerprint came before, found by binary search; the rest is merged in."""
+        at = np.minimum(np.searchsorted(self.prints, prints), max(len(self.prints) - 1, 0))
+        known = self.prints[at] == prints if len(self.prints) else np.zeros(len(prints), bool)
+        fresh = np.flatnonzero(~known)
+        values, first, inverse = np.unique(prints[fresh], return_index=True, return_inverse=True)
+        source = np.empty(len(prints), np.int64)
+        source[known] = self.sources[at[known]]
+        source[fresh] = ids[fresh][first][inverse]
+        repeat = known.copy()
+        repeat[fresh] = np.arange(len(fresh)) != first[inverse]
+        if len(values):
+            where = np.searchsorted(self.prints, values)
+            self.prints = np.insert(self.prints, where, values)
+            self.sources = np.insert(self.sources, where, ids[fresh][first])
+        return np.flatnonzero(repeat), source
+
+
 def _merge(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        group, seen = None, _Seen()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            grams = np.asarray(batch.column(0))
-            other = np.flatnonzero(grams != grams[-1])
-            if not len(other):
-                if held and held[-1].column(0)[-1].as_py() != grams[0]:
-                    yield from repeats(held)
-                    held = []
-                held.append(batch)
-                continue
-            end = int(other[-1]) + 1
-            yield from repeats([*held, batch.slice(0, end)])
-            held = [batch.slice(end)]
-        if held:
-            yield from repeats(held)
-
-    def repeats(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(parts).combine_chunks()
-        ids, places, masks = (np.asarray(t[c].combine_chunks()) for c in ("id", "place", "mask"))
-        lists = t["prints"].combine_chunks()
-        prints = np.asarray(lists.flatten())
-        row = np.repeat(np.arange(len(ids)), np.asarray(lists.value_lengths()))
-        _, col = np.nonzero((masks[:, None] >> np.arange(63)[None, ::-1]) & 1)
-        start = places[row] - (62 - col)
-        order = np.argsort(prints, kind="stable")  # rows come by (gram, id, place)
-        ordered = prints[order]
-        first = np.empty(len(order), np.int64)
-        first[order] = order[np.searchsorted(ordered, ordered, side="left")]
-        at = np.flatnonzero(first != np.arange(len(first)))
+            grams, salts = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            new = np.flatnonzero(np.r_[True, (grams[1:] != grams[:-1]) | (salts[1:] != salts[:-1])])
+            ends = np.r_[new[1:], len(grams)]
+            lone = 0
+            # a gram that goes on from the batch before meets what is kept of it; the others are merged together
+            if group == (grams[0], salts[0]):
+                yield from repeats(batch.slice(0, ends[0]), seen)
+                lone = 1
+            if lone < len(new):
+                at = int(new[lone])
+                body, last = batch.slice(at, int(new[-1]) - at), batch.slice(int(new[-1]))
+                if body.num_rows:
+                    yield from repeats(body, None)
+                group, seen = (grams[-1], salts[-1]), _Seen()
+                yield from repeats(last, seen)
+
+    def repeats(t: pa.RecordBatch, seen: _Seen | None) -> Iterator[pa.RecordBatch]:
+        ids, places, masks = (np.asarray(t.column(c)) for c in ("id", "place", "mask"))
+        prints = np.asarray(t.column("prints").flatten())
+        row, shift = _passages(masks)
+        start = places[row] - shift
+        if seen is None:  # whole grams; equal passages have equal grams
+            ordered = np.argsort(prints, kind="stable")  # rows come by (gram, salt, id, place)
+            first = np.empty(len(ordered), np.int64)
+            first[ordered] = ordered[np.searchsorted(prints[ordered], prints[ordered], side="left")]
+            at = np.flatnonzero(first != np.arange(len(first)))
+            source = ids[row[first[at]]]
+        else:
+            at, source = seen.sources_of(prints, ids[row])
+            source = source[at]
         if not len(at):
             return
-        source = ids[row[first[at]]]
         new = np.r_[True, (row[at][1:] != row[at][:-1]) | (start[at][1:] != start[at][:-1] + 1) | (source[1:] != source[:-1])]
         a = np.flatnonzero(new)
         z = np.r_[a[1:], len(at)] - 1
@@ -321,7 +381,7 @@ def _join_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield merged(np.concatenate(held))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, anchor_words: int = ANCHOR_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, anchor_words: int = ANCHOR_WORDS, shard_words: int = SHARD_WORDS, hot: int = HOT) -> DataFrame:
     """(id, start, end, source): word spans of documents that repeat earlier passages.
 
     `source` is a document that holds the span's first passage earlier. Ids must
@@ -330,51 +390,61 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if min_words - anchor_words > 61:
         raise ValueError("an anchor must have at least min_words - 61 words")
     texts = base.pick(docs, id=id_col, text=text_col).where("id IS NOT NULL AND text IS NOT NULL")
-    index = base.written(texts.mapInArrow(_shards(min_words, anchor_words, shard_words), _SHARDS), "suffix-shards")
+    index = base.written(texts.mapInArrow(base.tidy(_shards(min_words, anchor_words, shard_words)), _SHARDS), "suffix-shards")
     inside = index.select("id", F.explode(F.arrays_zip("starts", "ends", "sources")).alias("s")).select("id", F.col("s.starts").alias("start"), F.col("s.ends").alias("end"), F.col("s.sources").alias("source"))
     anchors = index.select("id", F.explode(F.arrays_zip("grams", "places", "masks")).alias("s")).select(F.col("s.grams").alias("gram"), "id", F.col("s.places").alias("place"), F.col("s.masks").alias("mask"))
-    shared = anchors.withColumn("n", F.count("*").over(W.partitionBy("gram"))).where("n > 1").groupBy("id").agg(F.collect_list(F.struct("gram", "place", "mask")).alias("anchors"))
-    prints = texts.join(shared, "id").select("id", "text", "anchors").mapInArrow(_fingerprints(min_words), "gram long, id long, place int, mask long, prints array<long>")
-    across = prints.repartition("gram").sortWithinPartitions("gram", "id", "place").mapInArrow(_merge(min_words), "id long, start int, end int, source long")
+    # counted with partial sums, so that no task holds the places of a hot gram
+    often = anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    shared = anchors.join(often, "gram").groupBy("id").agg(F.collect_list(F.struct("gram", "place", "mask", "n")).alias("anchors"))
+    prints = texts.join(shared, "id").select("id", "text", "anchors").mapInArrow(base.tidy(_fingerprints(min_words, hot)), "gram long, salt long, id long, place int, mask long, prints array<long>")
+    across = prints.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "id", "place").mapInArrow(base.tidy(_merge(min_words)), "id long, start int, end int, source long")
     return inside.union(across).repartition("id").sortWithinPartitions("id", "start", "end", "source").mapInArrow(_join_spans, "id long, start long, end long, source long")
 
 
 @F.arrow_udf(T.StringType())
 def _without(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    """Texts less the words of their spans; what stands between kept words stays."""
-    out = texts.to_pylist()
-    for i in np.flatnonzero(np.asarray(spans.is_valid())):
-        raw = np.frombuffer(out[i].encode(), np.uint8)
-        starts, _, _ = word_spans(raw, np.array([0, len(raw)]))
-        edge = np.r_[starts, len(raw)]
-        keep = np.ones(len(raw), bool)
-        for s in spans[i].as_py():
-            keep[edge[s["start"]] : edge[s["end"]]] = False
-        out[i] = raw[keep].tobytes().decode()
-    return pa.array(out, pa.string())
+    """Texts less the words of their spans; what stands between kept words stays. Null texts stay null."""
+    raw, offsets, valid = buffers(string_array(texts.fill_null("")))
+    starts, _, counts = word_spans(raw, offsets)
+    first = np.cumsum(counts) - counts
+    sizes = np.asarray(spans.value_lengths().fill_null(0)).astype(np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    marks = np.zeros(len(raw) + 1, np.int32)
+    for name, sign in (("start", 1), ("end", -1)):
+        word = np.asarray(spans.flatten().field(name)).astype(np.int64)
+        inner = word < counts[row]
+        at = offsets[row + 1].copy()
+        at[inner] = starts[first[row[inner]] + word[inner]]
+        np.add.at(marks, at, np.int32(sign))
+    keep = np.cumsum(marks[:-1]) == 0
+    edges = np.r_[0, np.cumsum(keep)][offsets]
+    out = pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(raw[keep])])
+    return pc.if_else(texts.is_valid(), out, pa.scalar(None, pa.large_string())).cast(pa.string())
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", min_words: int = MIN_WORDS) -> DataFrame:
     """Documents without their repeated passages, all columns as they were.
 
     A repeated span goes with the white space behind it. The length column, if
-    any, gets the new length. A document of which no word is left goes.
+    there is one, gets the new length. A document of which no word is left goes.
+    Only texts with repeats pass through Python.
     """
-    docs = base.unique_ids(docs, id_col)
+    docs = base.unique_ids(docs, id_col, text_col)
     names = docs.columns
     key, text = f"_{base.place(docs, id_col)}", f"_{base.place(docs, text_col)}"
     spans = repeated_spans(docs, id_col, text_col, min_words).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     flat = base.columns_by_place(docs).join(spans, F.col(key) == F.col("id"), "left")
-    flat = flat.withColumn("left_over", F.when(F.col("spans").isNotNull(), _without(F.col(text), F.col("spans"))).otherwise(F.col(text)))
+    cut = F.col("spans").isNotNull()
+    flat = flat.withColumn("cut_text", _without(F.when(cut, F.col(text)), F.col("spans"))).withColumn("left_over", F.when(cut, F.col("cut_text")).otherwise(F.col(text)))
     flat = flat.where("spans IS NULL OR left_over RLIKE '[^ \\t-\\r]'")
-    chars = f"_{base.place(docs, chars_col)}" if chars_col else None
+    chars = f"_{base.place(docs, chars_col)}" if chars_col and any(n.lower() == chars_col.lower() for n in names) else None
     out = []
     for i in range(len(names)):
         c = f"_{i}"
         if c == text:
             out.append(F.col("left_over").alias(c))
         elif c == chars:
-            out.append(F.when(F.col("spans").isNotNull(), F.length("left_over").cast(flat.schema[c].dataType)).otherwise(F.col(c)).alias(c))
+            out.append(F.when(cut, F.length("left_over").cast(flat.schema[c].dataType)).otherwise(F.col(c)).alias(c))
         else:
             out.append(F.col(c))
     return flat.select(*out).toDF(*names)

@@ -42,8 +42,9 @@ def test_suffix_array_and_prefixes(n):
         assert lcp[r] == k
 
 
-@pytest.mark.parametrize("shard_words", [120, 1_000_000])
-def test_spans_match_brute_force(spark, shard_words):
+@pytest.mark.parametrize("shard_words, hot, batch", [(120, 1 << 16, 10_000), (120, 2, 3), (1_000_000, 2, 10_000)])
+def test_spans_match_brute_force(spark, shard_words, hot, batch):
+    """Also with grams that count as hot, and with merges that go over several batches."""
     rng = np.random.default_rng(5)
     passage = [[f"p{i}w{j}" for j in range(30)] for i in range(4)]
     rows = []
@@ -56,7 +57,11 @@ def test_spans_match_brute_force(spark, shard_words):
         rows.append((d, " \n".join(words)))
     rows += [(60, "x " * 40), (61, "a b " * 20), (62, ""), (63, None), (None, rows[0][1]), (64, rows[1][1]), (65, "é ü\t " * 15)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    found = suffixes.repeated_spans(df, min_words=12, anchor_words=5, shard_words=shard_words).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = suffixes.repeated_spans(df, min_words=12, anchor_words=5, shard_words=shard_words, hot=hot).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {(r.id, r.start, r.end) for r in found} == brute_spans(rows, 12)
     assert all(r.source <= r.id for r in found)
 
@@ -85,6 +90,21 @@ def test_one_row_per_id(spark):
     assert sorted(base.unique_ids(df).collect(), key=str) == sorted([(1, "a"), (None, "b"), (None, "b")], key=str)
 
 
+def test_the_least_text_of_an_id_stays_however_rows_are_dealt(spark):
+    rows = [(i % 9, f"text {i * 37 % 100:02}", {"k": i}, i) for i in range(90)] + [(3, None, None, 5), (None, "x", None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, n int")
+    got = [sorted(map(str, base.unique_ids(df.repartition(n)).select("doc_id", "text", "n").collect())) for n in (1, 4, 7)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 10
+    kept = {r.doc_id: r.text for r in base.unique_ids(df).where("doc_id IS NOT NULL").collect()}
+    assert kept == {i: None if i == 3 else min(t for d, t, *_ in rows if d == i) for i in range(9)}
+
+
+def test_no_length_column_is_needed(spark):
+    shared = " ".join(f"s{i}" for i in range(60))
+    df = spark.createDataFrame([(1, shared + " one"), (2, "two " + shared)], "doc_id long, text string")
+    assert sorted(map(tuple, suffixes.dedup(df).collect())) == [(1, shared + " one"), (2, "two ")]
+
+
 def test_least_grams_of_very_long_texts():
     g = np.random.default_rng(3).integers(0, 1 << 63, (1 << 24) + 100).astype(np.uint64)
     got = suffixes.least_grams(g, 26)
