@@ -19,7 +19,10 @@ The cut-off comes from a quarter of the fitted documents that is held out.
 
 Defined results: null texts and texts without words score 0 and are not toxic;
 labels that are null or contradict each other aren't used; without labels of both
-kinds nothing is toxic; every row is judged by itself.
+kinds nothing is toxic; every row is judged by itself, without an id too; ids may be
+of any type that labels share; of labelled rows that repeat an id the least text is
+fitted; other columns are left as they are, whatever their names; an empty table
+stays empty.
 """
 
 from __future__ import annotations
@@ -30,7 +33,6 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -147,20 +149,21 @@ def _vocabulary(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model | None:
-    """A model of labelled texts, or None without both kinds."""
+    """A model of labelled texts, or None without both kinds. Empties the list of texts, to free them."""
     if not (toxic == 1).any() or not (toxic == 0).any():
         return None
     rng = np.random.default_rng(seed)
     raw, offsets = _joined(texts)
+    texts.clear()
     starts, ends, inverse, counts = _vocabulary(raw, offsets)
     if not len(inverse):
         return None
     has = counts > 0
-    held_out = (np.arange(len(texts)) % 4 == 3) & has
+    held_out = (np.arange(len(counts)) % 4 == 3) & has
     flat, sizes = (np.concatenate(x) for x in zip(*_subwords_in_parts(raw, starts, ends), strict=True))
     begin = np.cumsum(sizes) - sizes
     # windows of the training documents, without overlap
-    doc = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
+    doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     fit_word = ~held_out[doc]
     if not fit_word.any():
         return None
@@ -246,9 +249,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # the labelled ids within the bound are told apart before any text is moved
     parts = [marks.where(F.col("toxic") == kind).orderBy(F.xxhash64("label_id"), "label_id").limit(TRAIN_DOCS).select("label_id", "toxic") for kind in (0, 1)]
     chosen = parts[0].union(parts[1])
-    rows = base.pick(docs, id=id_col, text=text_col).where("text IS NOT NULL").join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("id", "text", "toxic")
-    # an executor fits, so that neither texts nor their arrays come to the driver
-    found = rows.repartition(1).mapInArrow(_fit_batches, "weights binary, bias double, cutoff double").collect()
+    rows = base.pick(docs, id=id_col, text=text_col).where("text IS NOT NULL").join(F.broadcast(chosen), F.col("id") == F.col("label_id"))
+    # rows that repeat an id count once, by their least text; chosen bounds the rows from here on
+    one = rows.groupBy("id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"), F.first(F.xxhash64("label_id")).alias("place"))
+    staged = base.written(one.withColumn("words", F.length(F.regexp_replace("text", "[^ \n]", "")) + 1), "toxicity-labelled")
+    sizes = staged.select("place", "id", "toxic", "words").orderBy("place", "id").collect()
+    keep = [sizes[k] for k in within(np.array([r.words for r in sizes], np.int64), np.array([r.toxic for r in sizes], int), TRAIN_WORDS)]
+    if not keep:
+        return None
+    # only texts within the bound go to the task that fits; neither they nor their arrays come to the driver
+    kept = docs.sparkSession.createDataFrame([(n, r.id) for n, r in enumerate(keep)], T.StructType([T.StructField("n", T.LongType()), T.StructField("kept", staged.schema["id"].dataType)]))
+    bounded = staged.join(F.broadcast(kept), F.col("id") == F.col("kept")).select("n", "text", "toxic", "words")
+    found = bounded.repartition(1).sortWithinPartitions("n").mapInArrow(base.tidy(_fit_batches), "weights binary, bias double, cutoff double").collect()
     return Model(np.frombuffer(bytes(found[0].weights), np.float64), found[0].bias, found[0].cutoff) if found else None
 
 
@@ -278,23 +290,16 @@ def within(words: np.ndarray, toxic: np.ndarray, most: int) -> np.ndarray:
 
 
 def _fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A model of all rows (id, text, toxic), in the order of a hash of their ids, of those within TRAIN_WORDS; no row without one."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
+    """A model of all rows (n, text, toxic, words), which come in order and within TRAIN_WORDS; no row without one."""
+    texts, toxic = [], []
+    for batch in batches:
+        for text, words in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            # only the shortest text of a kind can be longer than half the bound
+            texts.append(_first_words(text, TRAIN_WORDS // 2) if words > TRAIN_WORDS // 2 else text)
+        toxic += batch.column(2).to_pylist()
+    if not texts:
         return
-    rows = pa.Table.from_batches(held)
-    order = np.lexsort((np.asarray(rows["id"]), mix(np.asarray(rows["id"]).astype(np.uint64))))
-    rows = rows.take(pa.array(order))
-    words = np.asarray(pc.add(pc.count_substring(rows["text"], " "), pc.count_substring(rows["text"], "\n"))).astype(np.int64) + 1
-    toxic = np.asarray(rows["toxic"]).astype(int)
-    keep = within(words, toxic, TRAIN_WORDS)
-    texts = rows["text"].take(pa.array(keep)).to_pylist()
-    for kind in (0, 1):  # the shortest of a kind counts as that many words at most
-        of = np.flatnonzero(toxic[keep] == kind)
-        if len(of) and words[keep][of].min() > TRAIN_WORDS // 2:
-            k = of[np.argmin(words[keep][of])]
-            texts[k] = _first_words(texts[k], TRAIN_WORDS // 2)
-    model = fit(texts, toxic[keep])
+    model = fit(texts, np.array(toxic, int))
     if model:
         yield pa.record_batch([pa.array([model.weights.astype(np.float64).tobytes()], pa.binary()), pa.array([float(model.bias)]), pa.array([float(model.cutoff)])], ["weights", "bias", "cutoff"])
 
