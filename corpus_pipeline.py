@@ -1,8 +1,23 @@
 """The corpus pipeline: documents in, packed sequences out.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
-as Parquet and read again as the next stage's documents. Documents without an id pass
-the first four stages and are left out by the last, as the sequences name their ids.
+as Parquet and read again as the next stage's documents. All but the last return the
+columns of documents as they came, extra ones included, whatever their names.
+
+Defined results, stage by stage:
+
+- quality_rules: a null or empty text has no words and is rejected where its language
+  has certified cut-offs; a null language is a stratum of its own; a row without id is
+  judged as any other; repeated rows are judged alike.
+- toxicity: a null or empty text stays; a row without id is judged as any other.
+- simhash_near_dedup: rows without id or text stay; of rows that repeat an id that of
+  the least text stays; of a group, and among equal texts, the least id stays.
+- suffix_array_dedup: rows without id or text stay as they are; of equal passages the
+  first by (id, word) stays; a document of which no word is left goes.
+- best_fit_packing: rows without id or text are left out, as the sequences name their
+  ids; an empty text is its end mark.
+
+Texts of any length are worked on whole, and empty tables come out empty.
 """
 
 from __future__ import annotations
@@ -46,5 +61,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over the documents of sf_dir."""
     docs = base.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = base.written(stage(spark, docs, sf_dir), name)
+        with base.scratch(spark, lambda: docs):  # what a stage wrote for itself goes, its result stays
+            docs = base.written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
