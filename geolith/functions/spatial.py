@@ -1,7 +1,8 @@
 """Spatial functions as Columns, and their SQL names.
 
-Geometries are WKB in binary columns. Functions run on Arrow batches; points, and
-rectangles as probes, are worked out in numpy, all else geometry by geometry. A
+Geometries are WKB in binary columns. Functions run on Arrow batches, in numpy over
+the coordinates of all rows (`vector.Shapes`); rows that can't be, and predicates
+between general shapes, are worked out geometry by geometry by the exact kernel. A
 null argument gives null, but for `st_hasarc`, which is false whatever it is given.
 Bytes that aren't WKB raise an error.
 """
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 from geolith.functions import geometry as G
 from geolith.functions import kernel as K
+from geolith.functions import vector as V
+from geolith.functions.vector import Shapes
 
 _POINT = np.dtype([("order", "u1"), ("code", "<u4"), ("x", "<f8"), ("y", "<f8")])
 BOUNDS = ("minx", "miny", "maxx", "maxy")
@@ -61,7 +64,7 @@ class _Decoded:
 def _rows(function, kinds: str, result: str):
     """An Arrow function that applies `function` to each row; g in kinds is a geometry."""
     wrap = G.write_wkb if result == "binary" else None
-    to = {"binary": pa.binary(), "bytes": pa.binary(), "string": pa.string(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_()}[result]
+    to = {"binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_()}[result]
 
     def run(*columns: pa.Array) -> pa.Array:
         readers = [_Decoded() if k == "g" else float if k == "d" else int if k == "i" else (lambda x: x) for k in kinds]
@@ -79,16 +82,6 @@ def _make_line(points: list[bytes | None]) -> G.Geometry:
     return G.Geometry(G.LINE, tuple(c for g in found for c in g.coordinates()))
 
 
-def _rectangle(g: G.Geometry) -> tuple[float, float, float, float] | None:
-    """The bounds of a polygon that is an upright rectangle."""
-    if g.kind != G.POLYGON or len(g.data) != 1 or len(g.data[0]) != 5 or g.data[0][0] != g.data[0][4]:
-        return None
-    b = g.bounds()
-    ring = [c[:2] for c in g.data[0]]
-    sides = all((p[0] == q[0]) != (p[1] == q[1]) for p, q in zip(ring, ring[1:], strict=False))
-    return b if sides and len(set(ring)) == 4 and {p[0] for p in ring} == {b[0], b[2]} else None
-
-
 def _in_polygon(x: np.ndarray, y: np.ndarray, g: G.Geometry) -> np.ndarray:
     """Which points lie in a polygon or on it; close calls are decided exactly."""
     inside, close = np.zeros(len(x), bool), np.zeros(len(x), bool)
@@ -104,34 +97,111 @@ def _in_polygon(x: np.ndarray, y: np.ndarray, g: G.Geometry) -> np.ndarray:
     return inside
 
 
+def _merged(fast: pa.Array, slow_rows: np.ndarray, slow: pa.Array | None) -> pa.Array:
+    """A column with some rows taken from another one."""
+    if not len(slow_rows):
+        return fast
+    at = np.arange(len(fast))
+    at[slow_rows] = len(fast) + np.arange(len(slow_rows))
+    return pa.concat_arrays([fast, slow.cast(fast.type)]).take(pa.array(at))
+
+
+def _mixed(fast, slow):
+    """An Arrow function by `fast` on Shapes and further columns; rows it calls slow go one by one."""
+
+    def run(geoms: pa.Array, *more: pa.Array) -> pa.Array:
+        shapes = Shapes(geoms)
+        for c in more:
+            shapes.valid &= np.asarray(c.is_valid())
+        shapes.slow &= shapes.valid
+        out = fast(shapes, *more)
+        rows = np.flatnonzero(shapes.slow & shapes.valid)
+        return _merged(out, rows, slow(*(c.take(pa.array(rows)) for c in (geoms, *more))) if len(rows) else None)
+
+    return run
+
+
+def _some(values: np.ndarray, there: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.array(values, kind, mask=~there)
+
+
 def _intersects(a: pa.Array, b: pa.Array) -> pa.Array:
-    for left, right in ((a, b), (b, a)):
-        probes = right.unique()
-        points = points_of(left) if len(probes) == 1 and probes[0].is_valid else None
-        if points:
-            g = G.read_wkb(probes[0].as_py())
-            x, y, valid = points
-            box = _rectangle(g)
-            if box:
-                hit = (x >= box[0]) & (x <= box[2]) & (y >= box[1]) & (y <= box[3])
-            elif g.kind == G.POLYGON:
-                hit = _in_polygon(x, y, g)
-            else:
-                continue
-            return pa.array(hit, mask=~valid)
-    return _rows(K.intersects, "gg", "boolean")(a, b)
+    x, y = Shapes(a), Shapes(b)
+    (p, p_there), (q, q_there) = x.bounds(), y.bounds()
+    both = x.valid & y.valid
+    fast = x.fast & y.fast
+    with np.errstate(invalid="ignore"):
+        near = p_there & q_there & (p[:, 2] >= q[:, 0]) & (q[:, 2] >= p[:, 0]) & (p[:, 3] >= q[:, 1]) & (q[:, 3] >= p[:, 1])
+    out = near & fast
+    # where both fill their bounds, that their bounds meet is all there is to it
+    full = [(s.kind == V.POINT) | (s.rectangles() & (s.kind == V.POLYGON)) for s in (x, y)]
+    left = fast & near & ~(full[0] & full[1])
+    for points, shapes, column in ((x, y, b), (y, x, a)):
+        rows = np.flatnonzero(left & (points.kind == V.POINT) & (shapes.kind == V.POLYGON))
+        if not len(rows):
+            continue
+        probes = column.take(pa.array(rows)).dictionary_encode()
+        if len(probes.dictionary) * 4 > len(rows):
+            continue
+        place = points.run_first[np.searchsorted(points.run_row, rows)]
+        which = np.asarray(probes.indices)
+        order = np.argsort(which, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(which[order])) + 1):
+            at = points.xy[place[part]]
+            out[rows[part]] = _in_polygon(at[:, 0], at[:, 1], G.read_wkb(probes.dictionary[int(which[part[0]])].as_py()))
+        left[rows] = False
+    rows = np.flatnonzero(both & (left | ~fast))
+    slow = _rows(K.intersects, "gg", "boolean")(a.take(pa.array(rows)), b.take(pa.array(rows))) if len(rows) else None
+    return _merged(_some(out, both, pa.bool_()), rows, slow)
+
+
+def _distance(a: pa.Array, b: pa.Array) -> pa.Array:
+    x, y = Shapes(a), Shapes(b)
+    both = x.valid & y.valid
+    out, done = np.full(len(both), np.inf), np.zeros(len(both), bool)
+    for points, shapes in ((x, y), (y, x)):
+        rows = both & points.fast & shapes.fast & (points.kind == V.POINT) & (points.points == 1) & (shapes.points > 0) & ~done
+        if not rows.any():
+            continue
+        p = np.full((len(both), 2), np.nan)
+        p[points.run_row] = points.xy[np.minimum(points.run_first, max(len(points.xy) - 1, 0))]
+        edge, _ = shapes.bounds()
+        polygon = (shapes.kind == V.POLYGON) | (shapes.kind == V.POLYGON + 3)
+        with np.errstate(invalid="ignore"):
+            rows &= ~(polygon & (p >= edge[:, :2]).all(axis=1) & (p <= edge[:, 2:]).all(axis=1))
+        at, run = shapes.segments()
+        lone = shapes.run_first[shapes.run_n == 1]
+        at, to = np.r_[at, lone], np.r_[at + 1, lone]
+        row = np.r_[shapes.run_row[run], shapes.run_row[shapes.run_n == 1]]
+        keep = rows[row]
+        at, to, row = at[keep], to[keep], row[keep]
+        u, d = shapes.xy[at], shapes.xy[to] - shapes.xy[at]
+        n = (d * d).sum(axis=1)
+        t = np.clip(((p[row] - u) * d).sum(axis=1) / np.where(n > 0, n, 1), 0, 1)
+        gap = p[row] - u - t[:, None] * d
+        np.minimum.at(out, row, np.hypot(gap[:, 0], gap[:, 1]))
+        done |= rows
+    rows = np.flatnonzero(both & ~done)
+    slow = _rows(K.distance, "gg", "double")(a.take(pa.array(rows)), b.take(pa.array(rows))) if len(rows) else None
+    return _merged(_some(out, both, pa.float64()), rows, slow)
 
 
 def _bounds(geoms: pa.Array) -> pa.Array:
     points = points_of(geoms)
     if points:
         x, y, valid = points
-        there = pa.array(~(np.isnan(x) | np.isnan(y)) & valid)
-        x, y = (pc.if_else(there, pa.array(v), pa.scalar(None, pa.float64())) for v in (x, y))
-        return pa.StructArray.from_arrays([x, y, x, y], BOUNDS)
-    read = _Decoded()
-    found = [None if g is None else read(g).bounds() for g in geoms.to_pylist()]
-    return pa.StructArray.from_arrays([pa.array([None if b is None else b[k] for b in found], pa.float64()) for k in range(4)], BOUNDS)
+        there = ~(np.isnan(x) | np.isnan(y)) & valid
+        edges = [x, y, x, y]
+    else:
+        shapes = Shapes(geoms)
+        found, there = shapes.bounds()
+        rows = np.flatnonzero(shapes.slow)
+        for i, g in zip(rows.tolist(), geoms.take(pa.array(rows)).to_pylist(), strict=True):
+            b = G.read_wkb(g).bounds()
+            there[i] = b is not None
+            found[i] = b or np.nan
+        edges = [np.ascontiguousarray(found[:, k]) for k in range(4)]
+    return pa.StructArray.from_arrays([_some(e, there, pa.float64()) for e in edges], BOUNDS)
 
 
 def _points(x: pa.Array, y: pa.Array) -> pa.Array:
@@ -141,9 +211,8 @@ def _points(x: pa.Array, y: pa.Array) -> pa.Array:
 
 def _checked(geoms: pa.Array) -> pa.Array:
     if points_of(geoms) is None:
-        for g in geoms.to_pylist():
-            if g is not None:
-                G.read_wkb(g)
+        for g in geoms.take(pa.array(np.flatnonzero(Shapes(geoms).slow))).to_pylist():
+            G.read_wkb(g)
     return geoms
 
 
@@ -166,19 +235,13 @@ def _coordinate(axis: int):
 
 
 def _edge(k: int):
-    slow = _rows(lambda g: (g.bounds() or (None,) * 4)[k], "g", "double")
-
-    def run(geoms: pa.Array) -> pa.Array:
-        points = points_of(geoms)
-        return pa.array(points[k % 2], mask=~points[2] | np.isnan(points[0])) if points else slow(geoms)
-
-    return run
+    return lambda geoms: _bounds(geoms).field(k)
 
 
-def _binary_text(g: bytes, order: str) -> bytes:
-    if order.upper() != "NDR":
+def _binary_text(geoms: pa.Array, order: pa.Array) -> pa.Array:
+    if any(o is not None and o.upper() != "NDR" for o in order.unique().to_pylist()):
         raise G.GeometryError("only the byte order NDR is written")
-    return g
+    return pc.if_else(order.is_valid(), geoms, pa.scalar(None, geoms.type))
 
 
 def _depth(k: int, worst):
@@ -186,9 +249,144 @@ def _depth(k: int, worst):
     return lambda g: worst((c[2] for c in g.coordinates()), default=None) if g.z else None
 
 
-def _ext(g1: bytes, g2: bytes) -> bool | None:
-    a, b = G.read_wkb(g1).bounds(), G.read_wkb(g2).bounds()
-    return not K._apart(a, b)
+def _ext(a: pa.Array, b: pa.Array) -> pa.Array:
+    p, q = _bounds(a), _bounds(b)
+    side = lambda s, k: np.asarray(s.field(k).fill_null(np.nan))
+    with np.errstate(invalid="ignore"):
+        hit = (side(p, 2) >= side(q, 0)) & (side(q, 2) >= side(p, 0)) & (side(p, 3) >= side(q, 1)) & (side(q, 3) >= side(p, 1))
+    return _some(hit, np.asarray(a.is_valid()) & np.asarray(b.is_valid()), pa.bool_())
+
+
+def _envelopes(*edges: pa.Array) -> pa.Array:
+    valid = np.logical_and.reduce([np.asarray(e.is_valid()) for e in edges])
+    x1, y1, x2, y2 = (np.asarray(e.cast(pa.float64()).fill_null(0))[valid] for e in edges)
+    ring = np.stack([x1, y1, x1, y2, x2, y2, x2, y1, x1, y1], axis=1).reshape(-1, 2)
+    return V.encode(V.POLYGON, np.where(valid, 5, 0), ring, valid)
+
+
+def _lines(lists: pa.Array) -> pa.Array:
+    """Lines of lists of points; nulls in a list are left out."""
+    flat = lists.flatten().drop_null()
+    points = points_of(flat) if len(flat) else None
+    if not points or np.isnan(points[0]).any():
+        return _rows(_make_line, "a", "binary")(lists)
+    sizes = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+    if lists.flatten().null_count:
+        there = np.asarray(lists.flatten().is_valid())
+        sizes = np.diff(np.r_[0, np.cumsum(there)][np.r_[0, np.cumsum(sizes)]])
+    return V.encode(V.LINE, sizes, np.stack(points[:2], axis=1), np.asarray(lists.is_valid()))
+
+
+def _vertex(pick):
+    """Vertex number pick(further arguments) of lines, from 1, or from -1 at the end."""
+
+    def fast(s: Shapes, *more: pa.Array) -> pa.Array:
+        s.slow |= s.fast & (s.kind == V.LINE) & (s.width != 2)
+        n = pick(len(s.valid), *more)
+        points = s.points
+        there = s.fast & (s.kind == V.LINE) & (n != 0) & (np.abs(n) <= points)
+        at = (np.cumsum(points) - points + np.where(n > 0, n - 1, points + n))[there]
+        x, y = np.zeros(len(n)), np.zeros(len(n))
+        x[there], y[there] = s.xy[at].T
+        return encode_points(x, y, there)
+
+    return fast
+
+
+def _ring(pick, outer: bool):
+    def fast(s: Shapes, *more: pa.Array) -> pa.Array:
+        s.slow |= s.fast & (s.kind == V.POLYGON) & (s.width != 2)
+        n = pick(len(s.valid), *more)
+        run = np.flatnonzero((s.kind[s.run_row] == V.POLYGON) & s.fast[s.run_row] & (s.run_ring == n[s.run_row]) & (outer | (n[s.run_row] > 0)))
+        counts, there = np.zeros(len(n), np.int64), np.zeros(len(n), bool)
+        counts[s.run_row[run]], there[s.run_row[run]] = s.run_n[run], True
+        at = np.repeat(s.run_first[run], s.run_n[run]) + V.ranges(s.run_n[run])
+        return V.encode(V.LINE, counts, s.xy[at], there)
+
+    return fast
+
+
+def _whole(numbers: pa.Array) -> np.ndarray:
+    return np.asarray(numbers.cast(pa.int64()).fill_null(0))
+
+
+def _moved(change):
+    """Geometries with other coordinates, in the same places."""
+
+    def fast(s: Shapes, *more: pa.Array) -> pa.Array:
+        row = np.repeat(s.run_row, s.run_n)
+        xy = change(s.xy, *(np.asarray(c.cast(pa.float64()).fill_null(0))[row] for c in more))
+        return V.binary_column(s.changed(xy), s.offsets, s.valid)
+
+    return fast
+
+
+def _backwards(s: Shapes) -> pa.Array:
+    s.slow |= s.fast & (s.width != 2)
+    n = np.repeat(s.run_n, s.run_n)
+    return V.binary_column(s.changed(s.xy[np.repeat(s.run_first, s.run_n) + n - 1 - V.ranges(s.run_n)]), s.offsets, s.valid)
+
+
+def _named(prefix: str, names: dict[int, str]):
+    words = pa.array([None, *(prefix + names[k] for k in range(1, 7))], pa.string())
+    return lambda s: words.take(pa.array(np.where(s.fast, s.kind, 0)))
+
+
+def _number(value, kind: pa.DataType):
+    """A number for each row by `value` of its Shapes; a pair also tells where there is one."""
+
+    def fast(s: Shapes) -> pa.Array:
+        found = value(s)
+        values, there = found if isinstance(found, tuple) else (found, True)
+        return _some(np.asarray(values).astype(kind.to_pandas_dtype()), s.valid & there, kind)
+
+    return fast
+
+
+def _all_runs(s: Shapes, chosen: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Rows of which all chosen runs are good."""
+    return np.bincount(s.run_row[chosen & ~good], minlength=len(s.valid)) == 0
+
+
+def _is_closed(s: Shapes) -> np.ndarray:
+    return _all_runs(s, s.run_kind == V.LINE, s.closed_runs()) & (s.points > 0)
+
+
+def _is_ring(s: Shapes) -> pa.Array:
+    box, closed = s.rectangles(), _is_closed(s)
+    s.slow |= s.fast & ((s.kind != V.LINE) | (closed & ~box))
+    return _some(closed, s.valid, pa.bool_())
+
+
+def _is_valid(s: Shapes) -> pa.Array:
+    """Points, lines of two places and rectangles are valid; rings of other shapes are looked at one by one."""
+    finite = np.bincount(np.repeat(s.run_row, s.run_n), ~np.isfinite(s.xy).all(axis=1), len(s.valid)) == 0
+    at, run = s.segments()
+    moves = np.bincount(run, (s.xy[at] != s.xy[at + 1]).any(axis=1), len(s.run_n)) > 0
+    good = finite & _all_runs(s, s.run_kind == V.LINE, moves | (s.run_n == 0))
+    areal = (s.kind == V.POLYGON) | (s.kind == V.POLYGON + 3)
+    s.slow |= s.fast & areal & finite & ~s.rectangles()
+    return _some(good, s.valid, pa.bool_())
+
+
+def _shallow(s: Shapes) -> pa.Array:
+    s.slow |= s.fast & ((s.level & 1) == 1)
+    return pa.nulls(len(s.valid), pa.float64())
+
+
+def _flat(s: Shapes) -> pa.Array:
+    s.slow |= s.fast & (s.width != 2)
+    return V.binary_column(s.raw, s.offsets, s.valid)
+
+
+def _distinct(function):
+    """A function of one column, worked out once for each distinct value of a batch."""
+
+    def run(values: pa.Array) -> pa.Array:
+        found = values.dictionary_encode()
+        return function(found.dictionary).take(found.indices)
+
+    return run
 
 
 def _rings(g: G.Geometry) -> int | None:
@@ -197,20 +395,19 @@ def _rings(g: G.Geometry) -> int | None:
 
 _ROW = {
     "st_geomfromtext": (lambda t: G.read_wkt(t), "s", "binary"), "st_astext": (G.write_wkt, "g", "string"),
-    "st_makeenvelope": (G.envelope, "dddd", "binary"), "st_force2d": (lambda g: g.moved(lambda c: c[:2], False, False), "g", "binary"),
+    "st_force2d": (lambda g: g.moved(lambda c: c[:2], False, False), "g", "binary"),
     "st_zmflag": (lambda g: g.m + 2 * g.z, "g", "int"), "st_dimension": (K.dimension, "g", "int"), "st_numinteriorrings": (_rings, "g", "int"),
     "st_exteriorring": (lambda g: K.ring(g, 0), "g", "binary"), "st_interiorringn": (lambda g, n: K.ring(g, n) if n > 0 else None, "gi", "binary"),
     "st_isempty": (lambda g: g.empty, "g", "boolean"), "st_isvalid": (K.valid, "g", "boolean"), "geometrytype": (lambda g: G.NAMES[g.kind], "g", "string"),
-    "st_geometrytype": (lambda g: "ST_" + TYPE_NAMES[g.kind], "g", "string"), "st_area": (K.area, "g", "double"), "st_distance": (K.distance, "gg", "double"),
+    "st_geometrytype": (lambda g: "ST_" + TYPE_NAMES[g.kind], "g", "string"), "st_area": (K.area, "g", "double"),
     "st_length": (K.length, "g", "double"), "st_perimeter": (K.perimeter, "g", "double"), "st_npoints": (lambda g: sum(1 for _ in g.coordinates()), "g", "int"),
     "st_startpoint": (lambda g: K.vertex(g, 1), "g", "binary"), "st_endpoint": (lambda g: K.vertex(g, -1), "g", "binary"), "st_pointn": (K.vertex, "gi", "binary"),
     "st_isclosed": (K.closed, "g", "boolean"), "st_isring": (K.is_ring, "g", "boolean"), "st_reverse": (K.reverse, "g", "binary"),
     "st_flipcoordinates": (lambda g: g.moved(lambda c: (c[1], c[0], *c[2:])), "g", "binary"),
     "st_translate": (lambda g, x, y: g.moved(lambda c: (c[0] + x, c[1] + y, *c[2:])), "gdd", "binary"),
     "st_scale": (lambda g, x, y: g.moved(lambda c: (c[0] * x, c[1] * y, *c[2:])), "gdd", "binary"),
-    "st_numgeometries": (K.count_parts, "g", "int"), "st_srid": (lambda g: 0, "g", "int"), "st_makeline": (_make_line, "a", "binary"),
-    "st_zmin": (_depth(0, min), "g", "double"), "st_zmax": (_depth(1, max), "g", "double"), "st_intersects_extent": (_ext, "bb", "boolean"),
-    "st_asbinary": (_binary_text, "bs", "bytes"), "number_text": (G.number, "d", "string"),
+    "st_numgeometries": (K.count_parts, "g", "int"), "st_srid": (lambda g: 0, "g", "int"),
+    "st_zmin": (_depth(0, min), "g", "double"), "st_zmax": (_depth(1, max), "g", "double"), "number_text": (G.number, "d", "string"),
 }
 _EXTENDED = {
     "st_ndims": (lambda g: 2 + g.z + g.m, "g", "int"), "st_coorddim": (lambda g: 2 + g.z + g.m, "g", "int"), "st_geometryn": (K.nth_part, "gi", "binary"),
@@ -220,7 +417,23 @@ _EXTENDED = {
 _BATCH = {
     "st_intersects": (_intersects, "boolean"), "st_point": (_points, "binary"), "st_geomfromwkb": (_checked, "binary"), "st_bounds": (_bounds, "struct<minx:double,miny:double,maxx:double,maxy:double>"),
     "st_x": (_coordinate(0), "double"), "st_y": (_coordinate(1), "double"), "st_xmin": (_edge(0), "double"), "st_ymin": (_edge(1), "double"),
-    "st_box_xmax": (_edge(2), "double"), "st_box_ymax": (_edge(3), "double"),
+    "st_box_xmax": (_edge(2), "double"), "st_box_ymax": (_edge(3), "double"), "st_intersects_extent": (_ext, "boolean"), "st_asbinary": (_binary_text, "binary"),
+    "st_distance": (_distance, "double"), "st_makeenvelope": (_envelopes, "binary"), "st_makeline": (_lines, "binary"),
+}
+_I4, _F8 = pa.int32(), pa.float64()
+_FLAGS, _DIMENSIONS = np.array([0, 2, 1, 3]), np.array([0, 0, 1, 2, 0, 1, 2])
+#: The ways of the row functions with Shapes.
+_FAST = {
+    "st_force2d": _flat, "st_zmflag": _number(lambda s: _FLAGS[s.level], _I4), "st_dimension": _number(lambda s: _DIMENSIONS[s.kind], _I4),
+    "st_numinteriorrings": _number(lambda s: (np.maximum(np.bincount(s.run_row, minlength=len(s.valid)) - 1, 0), s.kind == V.POLYGON), _I4),
+    "st_exteriorring": _ring(lambda n: np.zeros(n, np.int64), True), "st_interiorringn": _ring(lambda _, n: _whole(n), False),
+    "st_isempty": _number(lambda s: s.points == 0, pa.bool_()), "st_isvalid": _is_valid, "geometrytype": _named("", G.NAMES), "st_geometrytype": _named("ST_", TYPE_NAMES),
+    "st_area": _number(Shapes.area, _F8), "st_length": _number(lambda s: s.measure((V.LINE,)), _F8), "st_perimeter": _number(lambda s: s.measure((V.POLYGON,)), _F8),
+    "st_npoints": _number(lambda s: s.points, _I4), "st_startpoint": _vertex(lambda n: np.ones(n, np.int64)), "st_endpoint": _vertex(lambda n: -np.ones(n, np.int64)),
+    "st_pointn": _vertex(lambda _, n: _whole(n)), "st_isclosed": _number(_is_closed, pa.bool_()), "st_isring": _is_ring, "st_reverse": _backwards,
+    "st_flipcoordinates": _moved(lambda c: c[:, ::-1]), "st_translate": _moved(lambda c, x, y: c + np.stack([x, y], axis=1)), "st_scale": _moved(lambda c, x, y: c * np.stack([x, y], axis=1)),
+    "st_numgeometries": _number(lambda s: np.where(s.kind > V.POLYGON, s.parts, s.points > 0), _I4), "st_srid": _number(lambda s: np.zeros(len(s.valid)), _I4),
+    "st_zmin": _shallow, "st_zmax": _shallow,
 }
 ALIASES = {"st_makepoint": "st_point", "st_numpoints": "st_npoints"}
 VERSION = "3.4.0"
@@ -236,7 +449,11 @@ def udf(name: str):
             run, kind = _BATCH[name]
         else:
             function, kinds, kind = (_ROW | _EXTENDED)[name]
-            run, kind = _rows(function, kinds, kind), kind.replace("bytes", "binary")
+            run = _rows(function, kinds, kind)
+            if name in _FAST:
+                run = _mixed(_FAST[name], run)
+            elif name in ("st_geomfromtext", "st_astext"):
+                run = _distinct(run)
         _made[name] = F.arrow_udf(run, kind)
     return _made[name]
 

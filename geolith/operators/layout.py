@@ -48,8 +48,12 @@ def inspect(schema: T.StructType) -> str | None:
 
 def with_bounds(df: DataFrame, geom: str) -> DataFrame:
     """The table with the bounds of its geometry column; null and empty ones have nulls."""
-    b = call("st_bounds", F.col(geom))
-    return df.withColumn("_b", b).select(*[c for c in df.columns if c not in COLUMNS], *[F.col("_b")[k].alias(PREFIX + k) for k in BOUNDS])
+    mine = [c for c in df.columns if c.lower() not in COLUMNS]
+    held = "_bounds"
+    while held.lower() in (c.lower() for c in mine):
+        held += "_"
+    found = df.select(*[F.col(f"`{c}`") for c in mine], call("st_bounds", F.col(f"`{geom}`")).alias(held))
+    return found.select(*[F.col(f"`{c}`") for c in mine], *[F.col(held)[k].alias(PREFIX + k) for k in BOUNDS])
 
 
 def candidates(bounds: tuple[float, float, float, float] | None) -> Column:
@@ -95,4 +99,7 @@ def clustered(df: DataFrame, files: int) -> DataFrame:
         return v
 
     code = spread(grid(x, e.x0, e.x1)).bitwiseOR(F.shiftleft(spread(grid(y, e.y0, e.y1)), 1))
-    return df.withColumn("_z", code).repartitionByRange(files, "_z").sortWithinPartitions("_z").drop("_z")
+    z = "_z"
+    while z in (c.lower() for c in df.columns):
+        z += "_"
+    return df.withColumn(z, code).repartitionByRange(files, z).sortWithinPartitions(z).drop(z)

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,12 +19,22 @@ from pyspark.sql import types as T
 from geolith.functions.spatial import call
 
 
+@F.arrow_udf(T.LongType())
+def _float_bits(values: pa.Array) -> pa.Array:
+    """The bits of doubles; all NaNs are alike, and 0 and -0 are not."""
+    x = np.asarray(values.fill_null(0.0)).copy()
+    x[np.isnan(x)] = np.nan
+    return pa.array(x.view(np.int64), mask=~np.asarray(values.is_valid()))
+
+
 def canonical(c: Column, kind: T.DataType) -> Column:
     """A value as text that is the same wherever it is stored."""
     if isinstance(kind, T.BooleanType):
-        return F.when(c, F.lit("1")).otherwise(F.lit("0"))
+        return F.when(c, F.lit("1")).when(~c, F.lit("0"))
     if isinstance(kind, T.BinaryType):
         return F.lower(F.hex(c))
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return F.lower(F.hex(_float_bits(c.cast("double"))))
     if isinstance(kind, T.DecimalType):
         return F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):

@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 from collections.abc import Iterable, Iterator
-from decimal import Decimal
+from decimal import Context, Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -23,6 +23,7 @@ BATCH_ROWS = 65_536
 BATCH_BYTES = 8 << 20
 _ESCAPES = {ord("b"): 8, ord("f"): 12, ord("n"): 10, ord("r"): 13, ord("t"): 9, ord("v"): 11}
 _SPECIAL = re.compile(rb"\\(x[0-9A-Fa-f]{1,2}|[0-7]{1,3}|[\s\S]|$)")
+_EXACT = Context(prec=60)
 _TRUE, _FALSE = {"t", "true", "1", "y", "yes", "on"}, {"f", "false", "0", "n", "no", "off"}
 _INT_BITS = {T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
 
@@ -63,7 +64,7 @@ def _decimal(text: str, kind: T.DecimalType) -> Decimal:
         raise EngineError("22003", "a decimal has more places than its column")
     if len(whole.lstrip("0")) > kind.precision - kind.scale:
         raise EngineError("22003", "a decimal has more digits than its column")
-    return value.quantize(Decimal(1).scaleb(-kind.scale))
+    return value.quantize(Decimal(1).scaleb(-kind.scale), context=_EXACT)
 
 
 def value(raw: bytes | None, field: T.StructField):

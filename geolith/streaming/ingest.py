@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from geolith.operators import layout
 from geolith.sources import copytext
 from geolith.sources.store import Store
 
@@ -27,18 +28,21 @@ def ingest(store: Store, table: str, folder: str, checkpoint: str, name: str = "
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines = (line.encode() + b"\n" for line in batch.column(0).to_pylist())
-            for rows in copytext.batches(copytext.decode(lines, schema)):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+            for content in batch.column(0).to_pylist():  # a file, with an end mark of its own
+                for rows in copytext.batches(copytext.decode([content], schema)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
     def publish(df: DataFrame, number: int) -> None:
         m = store.manifest(table)
         if int(m.comments.get(mark, -1)) >= number:
             return
-        store._publish(table, m, files=m.files + store._write(table, df), comments=m.comments | {mark: str(number)})
+        # what comes in is fitted like any other rows: no nulls where none may be, bounds that follow the geometry
+        mine = [c for c in df.columns if c.lower() not in layout.COLUMNS] if layout.inspect(schema) else df.columns
+        store._publish(table, m, files=m.files + store._write(table, store._fitted(table, df.select(*mine), True)), comments=m.comments | {mark: str(number)})
 
-    lines = store.spark.readStream.text(folder).mapInArrow(decode, schema)
-    return lines.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    files = store.spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
+    rows = files.select("content").mapInArrow(decode, schema)
+    return rows.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(events: DataFrame, at: str, key: str, width: str, late: str) -> DataFrame:
