@@ -470,7 +470,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     text has nulls, a row without id keeps its null.
     """
     run = _encode_batches(Encoder(vocabulary))
-    return base.pick(docs, id=id_col, text=text_col).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
+    return base.pick(docs, id=id_col, text=text_col).mapInArrow(base.tidy(run), "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
 
 
 def _decode_batches(encoder: Encoder):
@@ -498,6 +498,7 @@ def _count_batches(encoder: Encoder):
         for _a, _b, raw, offsets, valid in text_slices(texts):
             _, counts = encoder_.encode_rows(raw, offsets)
             out.append(pa.array(counts, pa.int64(), mask=~valid))
+        base.release()
         return pa.concat_arrays(out)
 
     return run

@@ -113,6 +113,7 @@ def _measures(texts: pa.Array) -> pa.Array:
     found = [np.zeros((0, len(RULES)), np.int32)]
     found += [measure(raw, offsets) for _a, _b, raw, offsets, _valid in text_slices(texts, SLICE)]
     values = np.concatenate(found)
+    base.release()
     return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(values[:, k])) for k in range(len(RULES))], list(RULES))
 
 

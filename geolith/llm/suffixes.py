@@ -401,7 +401,6 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return inside.union(across).repartition("id").sortWithinPartitions("id", "start", "end", "source").mapInArrow(_join_spans, "id long, start long, end long, source long")
 
 
-@F.arrow_udf(T.StringType())
 def _without(texts: pa.Array, spans: pa.Array) -> pa.Array:
     """Texts less the words of their spans; what stands between kept words stays. Null texts stay null."""
     raw, offsets, valid = buffers(string_array(texts.fill_null("")))
@@ -434,8 +433,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars
     key, text = f"_{base.place(docs, id_col)}", f"_{base.place(docs, text_col)}"
     spans = repeated_spans(docs, id_col, text_col, min_words).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     flat = base.columns_by_place(docs).join(spans, F.col(key) == F.col("id"), "left")
+    # told to be nondeterministic, so that the filter behind it doesn't cut a second time
+    without = F.arrow_udf(_without, T.StringType()).asNondeterministic()
     cut = F.col("spans").isNotNull()
-    flat = flat.withColumn("cut_text", _without(F.when(cut, F.col(text)), F.col("spans"))).withColumn("left_over", F.when(cut, F.col("cut_text")).otherwise(F.col(text)))
+    flat = flat.withColumn("cut_text", without(F.when(cut, F.col(text)), F.col("spans"))).withColumn("left_over", F.when(cut, F.col("cut_text")).otherwise(F.col(text)))
     flat = flat.where("spans IS NULL OR left_over RLIKE '[^ \\t-\\r]'")
     chars = f"_{base.place(docs, chars_col)}" if chars_col and any(n.lower() == chars_col.lower() for n in names) else None
     out = []

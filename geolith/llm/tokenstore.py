@@ -50,7 +50,7 @@ def _ids(encoder: bpe.Encoder):
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = bpe.VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens, ids) of whole texts."""
-    return base.pick(docs, id=id_col, text=text_col).mapInArrow(_ids(bpe.Encoder(vocabulary)), KIND)
+    return base.pick(docs, id=id_col, text=text_col).mapInArrow(base.tidy(_ids(bpe.Encoder(vocabulary))), KIND)
 
 
 def write(tokens: DataFrame, path: str, stripe: int = STRIPE, row_stride: int = ROW_STRIDE) -> None:

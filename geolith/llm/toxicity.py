@@ -310,6 +310,7 @@ def _scorer(model: Model):
         for _a, _b, raw, offsets, _valid in text_slices(texts, SLICE):
             out.append(model.scores(raw, offsets))
         x = np.concatenate(out)
+        base.release()
         return pa.array(1 / (1 + np.exp(np.clip(model.cutoff - x, -700, 700))) * np.isfinite(x), pa.float64())
 
     return run
@@ -319,7 +320,9 @@ def scored(docs: DataFrame, model: Model | None, text_col: str, name: str) -> Da
     """The table with a score: over 0.5 is toxic."""
     if model is None:
         return docs.withColumn(name, F.lit(0.0))
-    return docs.withColumn(name, F.arrow_udf(_scorer(model), T.DoubleType())(F.col(text_col)))
+    # told to be nondeterministic, so that a filter on the score doesn't score a second time, in a worker of its own
+    score = F.arrow_udf(_scorer(model), T.DoubleType()).asNondeterministic()
+    return docs.withColumn(name, score(F.col(text_col)))
 
 
 def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
