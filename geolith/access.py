@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,33 +130,64 @@ _COMPARE = {"eq": "__eq__", "neq": "__ne__", "gt": "__gt__", "gte": "__ge__", "l
 _RESERVED = {"select", "order", "limit", "offset"}
 
 
+def _test(kinds: dict[str, str], name: str, text: str) -> Column:
+    """The condition `name=text`."""
+    if name not in kinds:
+        raise EngineError("42703", f"no column {name}")
+    op, _, value = text.partition(".")
+    negated = op == "not"
+    if negated:
+        op, _, value = value.partition(".")
+    c = F.col(f"`{name}`")
+    if op in _COMPARE:
+        test = getattr(c, _COMPARE[op])(F.lit(value).cast(kinds[name]))
+    elif op in ("like", "ilike"):
+        test = getattr(c, op)(value.replace("*", "%"))
+    elif op == "in" and value[:1] == "(" and value[-1:] == ")":
+        test = c.isin([F.lit(v.strip('"')).cast(kinds[name]) for v in value[1:-1].split(",")])
+    elif op == "is" and value in ("null", "true", "false"):
+        test = c.isNull() if value == "null" else c.eqNullSafe(F.lit(value == "true"))
+    else:
+        raise EngineError("22023", f"{text!r} is no filter")
+    return ~test if negated else test
+
+
+def _group(kinds: dict[str, str], how: str, text: str, depth: int) -> Column:
+    """`(a.eq.1,and(b.gt.2,c.is.null))` joined by `how`; groups nest up to eight deep."""
+    if depth > 8 or text[:1] != "(" or text[-1:] != ")":
+        raise EngineError("22023", f"{text!r} is no group of filters")
+    parts, level = [""], 0
+    for sign in text[1:-1]:
+        level += (sign == "(") - (sign == ")")
+        if sign == "," and level == 0:
+            parts.append("")
+        else:
+            parts[-1] += sign
+    found = []
+    for part in parts:
+        inner = re.fullmatch(r"(not\.)?(and|or)(\(.*\))", part, re.S)
+        if inner:
+            test = _group(kinds, inner[2], inner[3], depth + 1)
+            found.append(~test if inner[1] else test)
+        else:
+            name, dot, rest = part.partition(".")
+            if not dot:
+                raise EngineError("22023", f"{part!r} is no filter")
+            found.append(_test(kinds, name, rest))
+    return reduce(lambda a, b: a & b if how == "and" else a | b, found)
+
+
 def filtered(df: DataFrame, parameters: dict[str, str]) -> DataFrame:
-    """Rows by request parameters: select, column=op.value, order, limit and offset.
+    """Rows by request parameters: select, column=op.value, and/or groups, order, limit and offset.
 
     Values are compared as the column's type. Nulls come last in either order.
     """
     kinds = dict(df.dtypes)
     for name, text in parameters.items():
-        if name in _RESERVED:
-            continue
-        if name not in kinds:
-            raise EngineError("42703", f"no column {name}")
-        op, _, value = text.partition(".")
-        negated = op == "not"
-        if negated:
-            op, _, value = value.partition(".")
-        c = F.col(f"`{name}`")
-        if op in _COMPARE:
-            test = getattr(c, _COMPARE[op])(F.lit(value).cast(kinds[name]))
-        elif op in ("like", "ilike"):
-            test = getattr(c, op)(value.replace("*", "%"))
-        elif op == "in" and value[:1] == "(" and value[-1:] == ")":
-            test = c.isin([F.lit(v.strip('"')).cast(kinds[name]) for v in value[1:-1].split(",")])
-        elif op == "is" and value in ("null", "true", "false"):
-            test = c.isNull() if value == "null" else c.eqNullSafe(F.lit(value == "true"))
-        else:
-            raise EngineError("22023", f"{text!r} is no filter")
-        df = df.where(~test if negated else test)
+        if name in ("and", "or"):
+            df = df.where(_group(kinds, name, text, 0))
+        elif name not in _RESERVED:
+            df = df.where(_test(kinds, name, text))
     if order := parameters.get("order"):
         keys = []
         for part in order.split(","):
@@ -174,6 +208,21 @@ def filtered(df: DataFrame, parameters: dict[str, str]) -> DataFrame:
     return df if wanted == ["*"] else df.select(*wanted)
 
 
-def as_json(df: DataFrame) -> str:
-    """One JSON array of the rows, in their order."""
-    return "[" + ",".join(r[0] for r in df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).collect()) + "]"
+def json_rows(df: DataFrame) -> Iterator[str]:
+    """The pieces of one JSON array of the rows, in their order, a partition at a time on the driver."""
+    names = [F.col(f"`{c}`") for c in df.columns]
+    yield "["
+    for i, r in enumerate(df.select(F.to_json(F.struct(*names), {"ignoreNullFields": "false"})).toLocalIterator(prefetchPartitions=False)):
+        yield ("," if i else "") + r[0]
+    yield "]"
+
+
+def as_json(df: DataFrame, most: int = 8 << 20) -> str:
+    """One JSON array of the rows; a result of more than `most` characters is refused, `json_rows` streams it."""
+    out, size = [], 0
+    for piece in json_rows(df):
+        size += len(piece)
+        if size > most:
+            raise EngineError("54000", "the result is too large for one answer")
+        out.append(piece)
+    return "".join(out)

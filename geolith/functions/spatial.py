@@ -485,6 +485,11 @@ _MACROS = {
 }
 
 
+def names() -> list[str]:
+    """All SQL names of the functions, extended ones included."""
+    return [*_ROW, *_BATCH, *ALIASES, *_EXTENDED, "st_xmax", "st_ymax", *(head.split("(")[0] for head in _MACROS)]
+
+
 def register(spark: SparkSession, compat: str = "strict") -> None:
     """Give the session the SQL names; `extended` adds those that strict mode refuses."""
     for name in [*_ROW, *_BATCH, *ALIASES, *(_EXTENDED if compat == "extended" else ())]:

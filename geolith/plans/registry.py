@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from geolith.plans import relational, spatial_queries
+from geolith.plans import relational, spatial_queries, stored
 
-QUERIES: dict = spatial_queries.QUERIES | relational.QUERIES
-ORACLES: dict[str, str] = spatial_queries.ORACLES | relational.ORACLES
+QUERIES: dict = spatial_queries.QUERIES | relational.QUERIES | stored.QUERIES
+ORACLES: dict[str, str] = spatial_queries.ORACLES | relational.ORACLES | stored.ORACLES
 FLAGSHIP = "spatial_flagship_agg"

@@ -65,7 +65,7 @@ SQL: dict[str, tuple[str, str | None]] = {
     "date_funcs": ("SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, CAST(date_trunc('month', o_orderdate) AS DATE) AS d, DATE '2020-02-29' AS lit FROM orders", None),
     "math_funcs": ("SELECT p_partkey, p_size / 7 AS q, p_size % 7 AS m, -p_size % 3 AS nm, abs(p_size - 25) AS a, floor(p_retailprice) AS f, sqrt(p_size) AS s FROM part", "SELECT p_partkey, p_size / 7 AS q, p_size % 7 AS m, -p_size % 3 AS nm, abs(p_size - 25) AS a, CAST(floor(p_retailprice) AS BIGINT) AS f, sqrt(p_size) AS s FROM part"),
     "array_funcs": ("SELECT vec_id, CAST(size(embedding) AS BIGINT) AS n, element_at(embedding, 1) AS first, element_at(embedding, -1) AS last FROM embeddings", "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n, embedding[1] AS first, embedding[-1] AS last FROM embeddings"),
-    "unnest": ("SELECT vec_id, pos, v FROM embeddings LATERAL VIEW posexplode(slice(embedding, 1, 3)) t AS pos, v", "SELECT vec_id, CAST(i - 1 AS INT) AS pos, embedding[i] AS v FROM embeddings, range(1, 4) t(i)"),
+    "unnest": ("SELECT vec_id, pos, v FROM embeddings LATERAL VIEW posexplode(embedding) t AS pos, v", "SELECT vec_id, CAST(i - 1 AS INT) AS pos, embedding[i] AS v FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)"),
     "json_funcs": ("SELECT event_id, get_json_object(props, '$.k') AS k FROM events", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events"),
     "case_coalesce_trycast": ("SELECT o_orderkey, CASE WHEN o_totalprice > 10000 THEN 'hi' WHEN o_totalprice > 1000 THEN 'mid' ELSE 'lo' END AS c, coalesce(nullif(o_orderstatus, 'F'), 'none') AS s, try_cast(o_orderpriority AS INT) AS t FROM orders", None),
     "range_generator": ("SELECT id AS i, id * id AS sq FROM range(1000)", "SELECT range AS i, range * range AS sq FROM range(1000)"),

@@ -41,3 +41,16 @@ def test_parameters_are_counted(engine):
 def test_extended(spark, engine):
     more = Engine(spark, "extended")
     assert more.sql("SELECT ST_XMax(geom_wkb) x, ST_NDims(geom_wkb) d, Find_SRID('a','b','c') s FROM pts WHERE id = 3").first()[:] == (3.0, 2, 0)
+
+
+@pytest.mark.parametrize("sql", ["WITH x AS (SELECT 1 AS id) INSERT INTO pts SELECT * FROM x", "SELECT TRANSFORM(id) USING 'cat' AS (x) FROM pts", "SELECT try_reflect('java.lang.System', 'nanoTime')", "SELECT reflect('java.lang.System', 'nanoTime')", "SELECT * FROM parquet.`/tmp/x`", "SELECT * FROM (TABLE pts)", "SELECT ~1", "SELECT no_such_function(id) FROM pts", "SELECT input_file_name() FROM pts", "FROM pts INSERT INTO t SELECT 1", "SELECT 1 UNION (TABLE pts)"])
+def test_writes_programs_and_paths_are_refused(engine, sql):
+    with pytest.raises(EngineError) as e:
+        engine.sql(sql).collect()
+    assert e.value.sqlstate in ("0A000", "42601", "42883")
+
+
+def test_ordinary_reads_pass(engine):
+    assert engine.sql('SELECT "id" FROM pts AS "p" WHERE "p"."name" OPERATOR(pg_catalog.~) \'^n3\'').first()[0] == 3
+    for text in ("WITH a(x) AS (SELECT id FROM pts), b AS (SELECT x FROM a WHERE x IN (SELECT id FROM pts WHERE id > 2)) SELECT count(*) FILTER (WHERE x > 3), sum(x) OVER () FROM b GROUP BY x", "SELECT CASE WHEN (id) > 2 THEN (1) ELSE (2) END, CAST(id AS DECIMAL(10,2)) FROM pts p(id, g, n)", "VALUES (1, 'a'), (2, 'b')", "SELECT * FROM range(3)", "SELECT id FROM pts UNION ALL SELECT id FROM pts ORDER BY 1 LIMIT 2 OFFSET 1", "SELECT 'TABLE ` reflect(' AS x", "(SELECT id FROM pts) EXCEPT (SELECT 1)", "SELECT * FROM (SELECT id, name FROM pts) PIVOT (count(*) FOR name IN ('n1' AS a))"):
+        engine.sql(text).collect()
