@@ -125,3 +125,19 @@ def test_the_later_of_two_writers_fails(spark, store):
     old = store.manifest("t")
     store.append("t", spark.range(1).selectExpr("CAST(id AS INT) id"))
     refused("40001", lambda: store._publish("t", old, files=[]))
+
+
+def test_row_groups_tell_what_a_selective_read_leaves(spark):
+    """At most one in twenty row groups of a clustered table is read for one part in a hundred of the plane."""
+    from geolith.functions import geometry as G
+    from geolith.operators import layout
+    from geolith.plans import stored
+
+    store = stored.clustered_points(spark, "/root/testdata/sf0.01", 200)
+    groups = store.row_groups("points").collect()
+    x1, y1, x2, y2 = box = (100.0, 100.0, 199.0, 199.0)
+    left = [g for g in groups if g.maxx >= x1 and g.minx <= x2 and g.maxy >= y1 and g.miny <= y2]
+    assert 0 < len(left) * 20 <= len(groups) and sum(g.n for g in groups) == store.read("points").count()
+    hit = layout.intersecting(store.read("points"), "geom", G.envelope(*box))
+    assert "PushedFilters: [IsNotNull" in hit._jdf.queryExecution().toString()
+    assert hit.count() == layout.intersecting_exact(store.read("points"), "geom", G.envelope(*box)).count()
