@@ -7,13 +7,11 @@
    in `TURNS` steps; `BITS` binary tests of pairs of points, turned with it, make
    its descriptor, which neither turning nor brighter or darker tones change. The
    pairs are chosen so that their outcomes are even and hardly correlated.
-3. Hamming tables: each of `TABLES` tables keys a descriptor by some of its bits, a
-   few more than tell all corners of the input apart, so that chance meetings grow
-   no faster than the corners do. Corners of equal keys vote for their pictures' pair;
-   a pair with `VOTES` is compared whole, all corners with all, within `RADIUS`. A key
-   of up to `FULL` pictures gives all its pairs; a hotter one (content that many
-   pictures share) links each picture with the key's first and with its neighbour,
-   which keeps a family together in a number of links that grows with its members.
+3. Hamming tables: each of `TABLES` tables keys a descriptor by `KEY` bits of its own,
+   whatever the size of the input. All corners of one key are compared, however many
+   they are; two alike within `RADIUS` are a vote for their pictures' pair, and a pair
+   with `VOTES` is compared whole, all corners with all. So whether a pair is found
+   depends on its two pictures alone, not on what else the table holds.
 4. Consensus: a match implies a turn, a scale and a shift. Matches vote for cells of
    these, overlapping by half; two pictures are copies where one cell holds
    `INLIERS` different corners of both.
@@ -52,9 +50,12 @@ from geolith.llm import base
 LEVELS = 3
 TURNS = 32
 BITS = 128
-KEYS = 11
 RADIUS = 20
-TABLES, VOTES, FULL = 12, 2, 64
+TABLES, KEY, VOTES = 7, 18, 3
+#: Bits of a key that make groups: a task holds the corners of one group at a time.
+GROUP = 10
+#: Corners that are sorted at once, whole groups of them; keys of up to FEW corners are compared together.
+HELD, FEW = 1 << 17, 48
 INLIERS = 6
 CONTRAST = 0.02
 CELL = 16
@@ -173,11 +174,11 @@ def chosen_tests() -> np.ndarray:
                 kept.append(k)
         limit += 0.02
     # a test joins the key whose tests it depends on least, so that keys are spread out
-    keys: list[list[int]] = [[] for _ in range(KEYS)]
-    for k in kept:
-        _, best = min(((together[k, key] ** 2).sum(), at) for at, key in enumerate(keys) if len(key) < len(range(at, BITS, KEYS)))
+    keys: list[list[int]] = [[] for _ in range(TABLES)]
+    for k in kept[: TABLES * KEY]:
+        _, best = min(((together[k, key] ** 2).sum(), at) for at, key in enumerate(keys) if len(key) < KEY)
         keys[best].append(k)
-    return turned(pairs[np.concatenate(keys)])
+    return turned(pairs[np.concatenate([*keys, kept[TABLES * KEY :]])])
 
 
 def described(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,81 +231,91 @@ def pictures(images: DataFrame, id_col: str = "id", image_col: str = "image") ->
     return rows.mapInArrow(base.tidy(_pictures), "id long, digest binary, d0 array<long>, d1 array<long>, place array<long>")
 
 
-@cache
-def tables(bits: int) -> np.ndarray:
-    """(TABLES, bits) the bits of a descriptor that make each table's key."""
-    rng = np.random.default_rng(17)
-    return np.stack([rng.choice(BITS, bits, replace=False) for _ in range(TABLES)])
-
+def _key(words: np.ndarray, table: np.ndarray | int) -> np.ndarray:
+    """The key of each descriptor in a table: bits KEY * table and on."""
+    at = np.asarray(table, np.uint64) * np.uint64(KEY)
+    low, rest = words[:, 0] >> np.minimum(at, 63), at % np.uint64(64)
+    high = np.where(at < 64, np.where(rest > 0, words[:, 1] << (np.uint64(64) - np.maximum(rest, 1)), 0), words[:, 1] >> rest)
+    return (np.where(at < 64, low, 0) | high).astype(np.int64) & ((1 << KEY) - 1)
 
-def _keys(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                ids = np.repeat(np.asarray(batch.column(0)), np.asarray(batch.column(1).value_lengths()))
-                words = np.stack([np.asarray(batch.column(c).flatten()) for c in (1, 2)], axis=1)
-                flags = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
-                for t, chosen in enumerate(tables(bits)):
-                    packed = np.zeros((len(ids), 8), np.uint8)
-                    body = np.packbits(flags[:, chosen], axis=1, bitorder="little")
-                    packed[:, : body.shape[1]] = body
-                    yield pa.record_batch([pa.array(packed.view(np.int64)[:, 0] | np.int64(t) << 58), pa.array(ids)], ["key", "id"])
 
-    return run
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (group, ids, words): the corners of a batch's pictures by table and first bits of the key."""
+    for batch in batches:
+        ids = np.repeat(np.asarray(batch.column(0)), np.asarray(batch.column(1).value_lengths()))
+        words = np.stack([np.asarray(batch.column(c).flatten()).view(np.uint64) for c in (1, 2)], axis=1)
+        for t in range(TABLES):
+            group = _key(words, t) & ((1 << GROUP) - 1)
+            order = np.argsort(group, kind="stable")
+            group, mine, flat = group[order], ids[order].view(np.uint8).reshape(-1, 8), words[order]
+            first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]][: len(group)])
+            edges = list(zip(first.tolist(), [*first[1:].tolist(), len(group)], strict=True))
+            # ids go byte by byte, most of which are alike then and take no room in the shuffle
+            rows = [pa.array([f(a, b) for a, b in edges], pa.binary()) for f in (lambda a, b, mine=mine: mine[a:b].T.tobytes(), lambda a, b, flat=flat: flat[a:b].tobytes())]
+            yield pa.record_batch([pa.array(group[first] | t << GROUP), *rows], ["group", "ids", "words"])
+
+
+def _near(keys: np.ndarray, ids: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of pictures, one for each two corners of one key that are alike within RADIUS; rows come by key and id."""
+    w0, w1 = np.ascontiguousarray(words[:, 0]), np.ascontiguousarray(words[:, 1])
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    sizes = np.diff(np.r_[first, len(keys)])
+    found, n = [], 0
+
+    def pairs() -> pa.RecordBatch:
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        there = ids[i] < ids[j]  # each two once, and none within a picture
+        return pa.record_batch([pa.array(ids[i[there]]), pa.array(ids[j[there]])], ["a", "b"])
+
+    def near() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        left = np.repeat(first + sizes, sizes) - np.arange(len(keys)) - 1
+        i, step = np.flatnonzero((np.repeat(sizes, sizes) <= FEW) & (left > 0)), 1
+        while len(i):
+            at = i[np.bitwise_count(w0[i] ^ w0[i + step]) + np.bitwise_count(w1[i] ^ w1[i + step]) <= RADIUS]
+            yield at, at + step
+            step += 1
+            i = i[left[i] >= step]
+        for start, size in zip(first[sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
+            for a in range(start, start + size, 256):
+                x = slice(a, min(a + 256, start + size))
+                for b in range(a, start + size, 2048):
+                    y = slice(b, min(b + 2048, start + size))
+                    i, j = np.nonzero(np.bitwise_count(w0[x, None] ^ w0[None, y]) + np.bitwise_count(w1[x, None] ^ w1[None, y]) <= RADIUS)
+                    yield i + a, j + b
+
+    for i, j in near():
+        if len(i):
+            found.append((i, j))
+            n += len(i)
+        if n >= HELD:
+            yield pairs()
+            found, n = [], 0
+    if found:
+        yield pairs()
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of pictures that share a key; rows (key, id) come in order."""
-    none = np.zeros(0, np.int64)
-    key, held, hot = None, none, None
-
-    def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        there = a != b
-        return pa.record_batch([pa.array(a[there]), pa.array(b[there])], ["a", "b"])
-
-    def linked(ids: np.ndarray, first: int, before: int) -> pa.RecordBatch:
-        """Each picture of a hot key with the key's first one and with the one before it."""
-        chain = np.r_[before, ids[:-1]]
-        other = chain != first
-        return pairs(np.r_[np.full(len(ids), first), chain[other]], np.r_[ids, ids[other]])
-
-    def whole(keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
-        sizes = np.diff(np.r_[first, len(keys)])
-        size = np.repeat(sizes, sizes)
-        for step in range(1, min(FULL, int(sizes.max(initial=0)))):
-            i = np.flatnonzero((keys[step:] == keys[:-step]) & (size[step:] <= FULL))
-            if len(i):
-                yield pairs(ids[i], ids[i + step])
-        for k in np.flatnonzero(sizes > FULL):
-            mine = ids[first[k] : first[k] + sizes[k]]
-            yield linked(mine, mine[0], mine[0])
+    """Pairs (a, b) of pictures, one for each vote; rows (group, ids, words) come by group."""
+    held: list[tuple[int, bytes, bytes]] = []
+    n = 0
+
+    def whole() -> Iterator[pa.RecordBatch]:
+        ids = np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.int64)[:, 0] for _, x, _ in held])
+        words = np.frombuffer(b"".join(x for _, _, x in held), np.uint64).reshape(-1, 2)
+        table = np.repeat([g >> GROUP for g, _, _ in held], [len(x) // 8 for _, x, _ in held])
+        keys = _key(words, table) | table << KEY
+        order = np.lexsort((ids, keys))
+        yield from _near(keys[order], ids[order], words[order])
 
     for batch in batches:
-        keys, ids = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        if not len(keys):
-            continue
-        if hot is not None:
-            n = int(np.searchsorted(keys, key, side="right"))
-            if n:
-                yield linked(ids[:n], hot[0], hot[1])
-                hot = hot[0], ids[n - 1]
-            keys, ids = keys[n:], ids[n:]
-            if not len(keys):
-                continue
-            hot = None
-        elif len(held):
-            keys, ids = np.r_[np.full(len(held), key), keys], np.r_[held, ids]
-        new = np.r_[True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])]
-        keys, ids = keys[new], ids[new]
-        at = int(np.searchsorted(keys, keys[-1]))
-        yield from whole(keys[:at], ids[:at])
-        key, held = keys[-1], ids[at:]
-        if len(held) > FULL:
-            yield linked(held, held[0], held[0])
-            hot, held = (held[0], held[-1]), none
-    yield from whole(np.full(len(held), key if key is not None else 0), held)
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if n >= HELD and row[0] != held[-1][0]:
+                yield from whole()
+                held, n = [], 0
+            held.append(row)
+            n += len(row[1]) // 8
+    if held:
+        yield from whole()
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,20 +335,14 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(r) for r in np.concatenate(found, axis=1)], ["a", "b", "pa", "pb"])
 
 
-def key_bits(corners_: int) -> int:
-    """Bits of a key for so many corners: some more than tell them apart, as bits of a descriptor aren't independent."""
-    return min(56, max(12, corners_.bit_length() + 3))
-
-
 def matches(found: DataFrame) -> DataFrame:
     """(a, b, pa, pb): corners alike within RADIUS of pictures that the tables bring together, a before b.
 
     found: (id, d0, d1, place) with lists over the corners, a row for each picture; it is read several times.
     """
     base.small_batches(found.sparkSession)
-    corners_ = found.agg(F.sum(F.size("d0"))).first()[0] or 0
-    keys = found.where(F.size("d0") > 0).select("id", "d0", "d1").mapInArrow(_keys(key_bits(int(corners_))), "key long, id long")
-    met = keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_met, "a long, b long")
+    keys = found.where(F.size("d0") > 0).select("id", "d0", "d1").mapInArrow(base.tidy(_grouped), "group long, ids binary, words binary")
+    met = keys.repartition("group").sortWithinPartitions("group").mapInArrow(base.tidy(_met), "a long, b long")
     pairs = met.groupBy("a", "b").count().where(F.col("count") >= VOTES)
     x, y = (found.select(F.col("id").alias(i), *[F.col(c).alias(f"{i}_{c}") for c in ("d0", "d1", "place")]) for i in "ab")
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "a_d0", "a_d1", "a_place", "b_d0", "b_d1", "b_place")

@@ -1,5 +1,4 @@
 import numpy as np
-import pytest
 
 from geolith.llm import media
 
@@ -61,11 +60,8 @@ def harder(picture, seed):
     return [np.rint(media.resized(pixels[None], 0.84)[0]), pixels[back[0], back[1]], np.clip(pixels + rng.integers(-12, 13, pixels.shape), 0, 255)]
 
 
-@pytest.mark.parametrize("bits", [None, 25])
-def test_recall_of_harder_copies_against_brute_force(spark, monkeypatch, bits):
-    """Keys as long as those of 4 million corners must still find nine of ten pairs that the full comparison finds."""
-    if bits:
-        monkeypatch.setattr(media, "key_bits", lambda corners: bits)
+def test_recall_of_harder_copies_against_brute_force(spark):
+    """The keys, which are the same for any input, must find nine of ten pairs that the full comparison finds."""
     rng, rows = np.random.default_rng(11), []
     for i in range(12):
         picture = media.draw(rng.random(8))
@@ -80,22 +76,44 @@ def consensus_of(spark, rows):
     return [tuple(r) for r in media.consensus(spark.createDataFrame(sorted(rows), "a long, b long, pa long, pb long")).collect()]
 
 
-def test_hot_keys_link_in_proportion_to_their_members():
-    """Keys of few pictures give all pairs, hot ones a star and a chain, wherever batches end."""
+def test_hot_keys_give_all_pairs():
+    """Every two corners of a key that are alike are met, however many share it and wherever batches end."""
     rng = np.random.default_rng(2)
-    rows = sorted((int(k), int(i)) for k, n in ((1, 5), (2, 300), (3, 64), (4, 65), (9, 2)) for i in rng.choice(1000, n, replace=False))
-    rows += [rows[-1]]
-    for step in (1, 7, 64, 1000):
-        batches = [media.pa.record_batch([[k for k, _ in rows[a : a + step]], [i for _, i in rows[a : a + step]]], ["key", "id"]) for a in range(0, len(rows), step)]
-        got = sorted(p for b in media._met(iter(batches)) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-        want = []
-        for key in {k for k, _ in rows}:
-            ids = sorted({i for k, i in rows if k == key})
-            if len(ids) <= media.FULL:
-                want += [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :]]
-            else:
-                want += [(ids[0], b) for b in ids[1:]] + list(zip(ids[1:], ids[2:]))
-        assert got == sorted(want)
+    sizes = (2, media.FEW, media.FEW + 1, 300, 2500)
+    words = np.concatenate([np.repeat(rng.integers(0, 1 << 64, (1, 2), np.uint64), n, axis=0) for n in sizes])
+    flips = rng.integers(0, 2, words.shape, np.uint64) << rng.integers(0, 64, words.shape, np.uint64)
+    for _ in range(5):
+        flips |= rng.integers(0, 2, words.shape, np.uint64) << rng.integers(0, 64, words.shape, np.uint64)
+    words ^= flips
+    ids = rng.integers(0, 2000, len(words))
+    want = np.zeros(0, np.int64)
+    for t in range(media.TABLES):
+        keys = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")[:, t * media.KEY : (t + 1) * media.KEY]
+        for key in np.unique(keys, axis=0):
+            k = np.flatnonzero((keys == key).all(axis=1))
+            i, j = np.nonzero(np.bitwise_count(words[k][:, None] ^ words[k][None]).sum(axis=2) <= media.RADIUS)
+            want = np.r_[want, (ids[k[i]] * 2000 + ids[k[j]])[ids[k[i]] < ids[k[j]]]]
+    sent = []
+    for a in range(0, len(words), 700):
+        x = [media.pa.array(v) for v in (ids[a : a + 700], words[a : a + 700, :1].view(np.int64).tolist(), words[a : a + 700, 1:].view(np.int64).tolist())]
+        sent += [r for b in media._grouped(iter([media.pa.record_batch(x, ["id", "d0", "d1"])])) for r in b.to_pylist()]
+    sent.sort(key=lambda r: r["group"])
+    assert len(want) > 1_000_000
+    for step in (5, 1000):
+        batches = (media.pa.RecordBatch.from_pylist(sent[a : a + step]) for a in range(0, len(sent), step))
+        got = np.concatenate([np.asarray(b.column(0)) * 2000 + np.asarray(b.column(1)) for b in media._met(batches)])
+        assert np.array_equal(np.sort(got), np.sort(want))
+
+
+def test_a_pair_does_not_depend_on_what_else_the_table_holds(spark):
+    """What is compared of some pictures is the same alone and among eight times as many others."""
+    rng, rows = np.random.default_rng(23), []
+    for i in range(12):
+        picture = media.draw(rng.random(8))
+        rows += [(4 * i + k, media.encode_pgm(p)) for k, p in enumerate([picture, *harder(picture, i)])]
+    more = [(1000 + i, media.encode_pgm(media.draw(rng.random(8)))) for i in range(400)]
+    alone, among = ({tuple(r) for r in media.matches(media.pictures(pictures(spark, x))).where("b < 1000").collect()} for x in (rows, rows + more))
+    assert alone and alone == among
 
 
 def test_places_of_tall_pictures():
