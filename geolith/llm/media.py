@@ -38,6 +38,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
@@ -51,7 +52,7 @@ LEVELS = 3
 TURNS = 32
 BITS = 128
 RADIUS = 20
-TABLES, KEY, VOTES = 7, 18, 3
+TABLES, KEY, VOTES = 7, 18, 2
 #: Bits of a key that make groups: a task holds the corners of one group at a time.
 GROUP = 10
 #: Corners that are sorted at once, whole groups of them; keys of up to FEW corners are compared together.
@@ -319,31 +320,48 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All corners of the pictures a and b of each row that are alike within RADIUS."""
+    """All corners of the pictures a and b of each row that are alike within RADIUS, where they are enough for copies."""
     for batch in batches:
         lists = [(np.asarray(c.flatten()), np.r_[0, np.cumsum(np.asarray(c.value_lengths()))].tolist()) for c in batch.columns[2:]]
         lists = [(v if k % 3 == 2 else v.view(np.uint64), e) for k, (v, e) in enumerate(lists)]
         ids, found = np.stack([np.asarray(c) for c in batch.columns[:2]]), []
         for k in range(batch.num_rows):
             x0, x1, xp, y0, y1, yp = (values[edge[k] : edge[k + 1]] for values, edge in lists)
+            mine = []
             for at in range(0, len(x0), 4096):
                 part = slice(at, at + 4096)
                 apart = np.bitwise_count(x0[part, None] ^ y0[None]) + np.bitwise_count(x1[part, None] ^ y1[None])
                 i, j = np.nonzero(apart <= RADIUS)
-                found.append(np.stack([np.full(len(i), ids[0, k]), np.full(len(i), ids[1, k]), xp[i + at], yp[j]]))
+                mine.append(np.stack([np.full(len(i), ids[0, k]), np.full(len(i), ids[1, k]), xp[i + at], yp[j]]))
+            if sum(m.shape[1] for m in mine) >= INLIERS:
+                found += mine
         if found:
             yield pa.record_batch([pa.array(r) for r in np.concatenate(found, axis=1)], ["a", "b", "pa", "pb"])
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile leaves no shuffle files behind; else they stay until the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def matches(found: DataFrame) -> DataFrame:
     """(a, b, pa, pb): corners alike within RADIUS of pictures that the tables bring together, a before b.
 
     found: (id, d0, d1, place) with lists over the corners, a row for each picture; it is read several times.
+    Pictures with fewer than INLIERS of them are left out.
     """
     base.small_batches(found.sparkSession)
     keys = found.where(F.size("d0") > 0).select("id", "d0", "d1").mapInArrow(base.tidy(_grouped), "group long, ids binary, words binary")
     met = keys.repartition("group").sortWithinPartitions("group").mapInArrow(base.tidy(_met), "a long, b long")
-    pairs = met.groupBy("a", "b").count().where(F.col("count") >= VOTES)
+    with _shuffles_removed(found.sparkSession):
+        pairs = base.written(met.groupBy("a", "b").count().where(F.col("count") >= VOTES).select("a", "b"), "media-pairs")
     x, y = (found.select(F.col("id").alias(i), *[F.col(c).alias(f"{i}_{c}") for c in ("d0", "d1", "place")]) for i in "ab")
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "a_d0", "a_d1", "a_place", "b_d0", "b_d1", "b_place")
     return both.mapInArrow(_compared, "a long, b long, pa long, pb long")
@@ -379,7 +397,7 @@ def copies(images: DataFrame, id_col: str = "id", image_col: str = "image") -> D
     The pictures are read once and aren't shuffled; what is, are their digests and
     descriptors.
     """
-    with base.scratch(images.sparkSession, lambda: known.join(one, "id")):  # the pictures themselves aren't needed behind it
+    with _shuffles_removed(images.sparkSession), base.scratch(images.sparkSession, lambda: known.join(one, "id")):  # the pictures themselves aren't needed behind it
         all_ = base.written(pictures(images, id_col, image_col), "media-pictures")
         digests = all_.groupBy("id").agg(F.min("digest").alias("digest"))
         # the least id of each digest, by a combinable aggregate rather than a window over a hot picture's copies
