@@ -116,6 +116,27 @@ def test_a_pair_does_not_depend_on_what_else_the_table_holds(spark):
     assert alone and alone == among
 
 
+def shuffled(spark):
+    """Bytes and records that the session's stages have written to shuffles so far."""
+    gateway = spark.sparkContext._gateway
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return np.array([(x.shuffleWriteBytes(), x.shuffleWriteRecords()) for x in (stages.apply(i) for i in range(stages.size()))]).reshape(-1, 2).sum(axis=0)
+
+
+def test_unrelated_pictures_take_little_shuffle(spark):
+    """Corners that only share a key don't become pairs of pictures; a descriptor has 24 bytes."""
+    rng = np.random.default_rng(29)
+    rows = [(i, media.encode_pgm(media.draw(rng.random(8)))) for i in range(1200)]
+    count = sum(len(media.described(media.decode_pgm(image)[None])[0]) for _, image in rows)
+    images = pictures(spark, rows)
+    before = shuffled(spark)
+    assert media.copies(images).collect() == []
+    size, records = (shuffled(spark) - before) / count
+    assert size < 170 and records < 2
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_places_of_tall_pictures():
     picture = media.draw(np.arange(4))
     tall = np.concatenate([np.full((17_000, media.SIDE), 7, np.uint8), picture])
