@@ -31,8 +31,7 @@ def points_of(geoms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray] | No
         return None
     valid = np.asarray(geoms.is_valid())
     packed = geoms.drop_null()
-    raw = b"".join(packed.to_pylist())
-    rows = np.frombuffer(raw, _POINT)
+    rows = V.binary_parts(packed)[0].view(_POINT)
     if not ((rows["order"] == 1) & (rows["code"] == 1)).all():
         return None
     x, y = np.full(len(geoms), np.nan), np.full(len(geoms), np.nan)
@@ -441,26 +440,32 @@ VERSION = "3.4.0"
 _made: dict = {}
 
 
-def udf(name: str):
-    """The Arrow UDF of a function by its SQL name."""
+def arrow(name: str) -> tuple:
+    """(Arrow function, Spark type) of a function by its SQL name."""
     name = ALIASES.get(name, name)
-    if name not in _made:
-        if name in _BATCH:
-            run, kind = _BATCH[name]
-        else:
-            function, kinds, kind = (_ROW | _EXTENDED)[name]
-            run = _rows(function, kinds, kind)
-            if name in _FAST:
-                run = _mixed(_FAST[name], run)
-            elif name in ("st_geomfromtext", "st_astext"):
-                run = _distinct(run)
-        _made[name] = F.arrow_udf(run, kind)
-    return _made[name]
-
-
-def call(name: str, *columns) -> Column:
+    if name in _BATCH:
+        return _BATCH[name]
+    function, kinds, kind = (_ROW | _EXTENDED)[name]
+    run = _rows(function, kinds, kind)
+    if name in _FAST:
+        run = _mixed(_FAST[name], run)
+    elif name in ("st_geomfromtext", "st_astext"):
+        run = _distinct(run)
+    return run, kind
+
+
+def udf(name: str, once: bool = False):
+    """The Arrow UDF of a function by its SQL name; the optimiser makes no copies of one that is evaluated once."""
+    name = ALIASES.get(name, name)
+    if (name, once) not in _made:
+        made = F.arrow_udf(*arrow(name))
+        _made[name, once] = made.asNondeterministic() if once else made
+    return _made[name, once]
+
+
+def call(name: str, *columns, once: bool = False) -> Column:
     """A function by its SQL name; values that aren't Columns are literals."""
-    return udf(name.lower())(*[c if isinstance(c, Column) else F.lit(c) for c in columns])
+    return udf(name.lower(), once)(*[c if isinstance(c, Column) else F.lit(c) for c in columns])
 
 
 def extent(geom: Column) -> Column:

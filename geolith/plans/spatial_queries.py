@@ -6,11 +6,14 @@ and lengths are closed forms.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolith.functions import geometry as G
-from geolith.functions.spatial import call, extent, extent_3d
+from geolith.functions.spatial import arrow, call, extent, extent_3d
 from geolith.operators import joins, layout
 
 XY = "(o_orderkey * 17) % 1000 AS x, (o_orderkey * 31) % 1000 AS y"
@@ -31,13 +34,34 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.withColumn("geom", call("st_point", F.col("x"), F.col("y")))
 
 
-def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, geom): by id % 3 a point, a line or a square of side 0.25 at the point's place."""
+def _shape(kind: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
+    """By kind a point, a line or else a square of side 0.25 at (x, y)."""
+    point, line, square = (arrow(name)[0] for name in ("st_point", "st_makeline", "st_makeenvelope"))
+    right, top, n = pc.add(x, 0.25), pc.add(y, 0.25), len(x)
+    places = point(x, y)
+    ends = pa.concat_arrays([places, point(right, y)]).take(pa.array(np.arange(2 * n).reshape(2, n).T.ravel()))
+    lines = line(pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * n + 1, 2), pa.int32()), ends))
+    which = pa.StructArray.from_arrays([pc.equal(kind, 0), pc.equal(kind, 1)], ["point", "line"])
+    return pc.case_when(which, places, lines, square(x, y, right, top))
+
+
+def _shape_at(p: DataFrame, once: bool = False) -> Column:
+    """The shape of a row of `points`.
+
+    One Python function: an array or a CASE between two of them would give each its own
+    Python worker for each core.
+    """
+    made = F.arrow_udf(_shape, "binary")
+    return (made.asNondeterministic() if once else made)(p["id"] % 3, p["x"], p["y"])
+
+
+def shapes(spark: SparkSession, sf_dir: str, once: bool = True) -> DataFrame:
+    """(id, x, y, geom): by id % 3 a point, a line or a square of side 0.25 at the point's place.
+
+    Made once, however many functions read it, or else anew for each in that one's own worker.
+    """
     p = points(spark, sf_dir)
-    x, y = F.col("x"), F.col("y")
-    line = call("st_makeline", F.array(F.col("geom"), call("st_point", x + 0.25, y)))
-    square = call("st_makeenvelope", x, y, x + 0.25, y + 0.25)
-    return p.select("id", "x", "y", F.when(F.col("id") % 3 == 0, F.col("geom")).when(F.col("id") % 3 == 1, line).otherwise(square).alias("geom"))
+    return p.select("id", "x", "y", _shape_at(p, once).alias("geom"))
 
 
 def laid_out(df: DataFrame) -> DataFrame:
@@ -75,7 +99,7 @@ def spatial_wide_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def viewport_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.intersecting(laid_out(shapes(spark, sf_dir)), "geom", G.envelope(250.125, 250.125, 500, 500)).select("id")
+    return layout.intersecting(laid_out(shapes(spark, sf_dir, once=False)), "geom", G.envelope(250.125, 250.125, 500, 500)).select("id")
 
 
 def holed_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,10 +138,19 @@ def _semi(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
     return points(spark, sf_dir).select("id").join(hit, "id", how)
 
 
+def _round_trip(geoms: pa.Array) -> pa.Array:
+    """The text of each geometry, and whether the geometry of that text has the same bytes."""
+    text = arrow("st_astext")[0](geoms)
+    back = arrow("st_geomfromtext")[0](text)
+    same = pc.or_(pc.fill_null(pc.equal(back, geoms), False), pc.and_(back.is_null(), geoms.is_null()))
+    return pa.StructArray.from_arrays([text, same], ["wkt", "same"])
+
+
 def wkt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = shapes(spark, sf_dir)
-    text = call("st_astext", F.col("geom"))
-    return s.select("id", text.alias("wkt"), F.hex(call("st_geomfromtext", text)).eqNullSafe(F.hex("geom")).alias("same"))
+    """Shapes as text and back, all in one Python worker for each task."""
+    p = points(spark, sf_dir)
+    trip = F.arrow_udf(_round_trip, "wkt string, same boolean").asNondeterministic()  # one call for both fields
+    return p.select("id", trip(_shape_at(p)).alias("trip")).select("id", "trip.wkt", "trip.same")
 
 
 def accessors_xy(spark: SparkSession, sf_dir: str) -> DataFrame:
