@@ -47,12 +47,16 @@ def inspect(schema: T.StructType) -> str | None:
 
 
 def with_bounds(df: DataFrame, geom: str) -> DataFrame:
-    """The table with the bounds of its geometry column; null and empty ones have nulls."""
+    """The table with the bounds of its geometry column; null and empty ones have nulls.
+
+    They are evaluated once: filters on them, those a join infers among them, stay above.
+    Pushed below, each would be a further Python worker for each core, and the same work again.
+    """
     mine = [c for c in df.columns if c.lower() not in COLUMNS]
     held = "_bounds"
     while held.lower() in (c.lower() for c in mine):
         held += "_"
-    found = df.select(*[F.col(f"`{c}`") for c in mine], call("st_bounds", F.col(f"`{geom}`")).alias(held))
+    found = df.select(*[F.col(f"`{c}`") for c in mine], call("st_bounds", F.col(f"`{geom}`"), once=True).alias(held))
     return found.select(*[F.col(f"`{c}`") for c in mine], *[F.col(held)[k].alias(PREFIX + k) for k in BOUNDS])
 
 
